@@ -13,8 +13,8 @@
 4. Components come from alternating large-star and small-star steps.
 5. Buckets whose members still lie in different components are looked at again, so that a link between two members
    that are both unlike the smallest is not lost: small buckets by all pairs of different components, larger ones
-   in blocks of ``BLOCK`` by ``BLOCK`` signatures compared inside a task, which emits only what may link. Steps 3 and
-   4 then run again with these links.
+   in pairs of blocks of about ``BLOCK_BYTES``, compared and confirmed inside a task, which emits a link for each two
+   components that it joins. Step 4 then runs again with these links.
 
 Null and empty texts, and texts of white space, have an empty set: they are linked with nothing and form
 components of their own. Repeated rows with the same doc_id are one document for each distinct text. An empty table gives an
@@ -36,7 +36,7 @@ from .runtime import materialise
 
 BANDS, ROWS = 25, 5
 SLACK = 0.15
-SMALL, BLOCK = 16, 128
+SMALL, BLOCK_BYTES = 16, 4_000_000
 
 _SIGS = "doc_id long, n_shingles long, set_lo long, set_hi long, sig binary, keys array<long>"
 _SETS = "doc_id long, shingles binary"
@@ -135,20 +135,39 @@ def _similar_sets(percent: int):
     return run
 
 
-def _blocks(least: float):
+def _blocks(least: float, percent: int, rows: int):
+    """Links between two blocks of a bucket whose ends lie in different components, confirmed on full sets.
+
+    A pair is looked at in the first band that it shares. Once a link joins two components within the block pair, no
+    other pair of these two is needed.
+    """
+
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        size = np.array([len(x) for x in sets])
         ids, comp, block = (group.column(c).to_numpy() for c in ("doc_id", "comp", "block"))
+        band = int(np.flatnonzero(band_keys(sigs[0], rows) == group.column("key")[0].as_py())[0])
         a, b = group.column("pa")[0].as_py(), group.column("pb")[0].as_py()
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        u, v = [], []
+        comp, u, v = comp.copy(), [], []
         for i in left:
-            other = right[(comp[right] != comp[i]) & (ids[right] != ids[i])]
-            hit = other[(sigs[other] == sigs[i]).mean(axis=1) >= least]
-            u.append(np.maximum(ids[hit], ids[i]))
-            v.append(np.minimum(ids[hit], ids[i]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+            other = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
+            if a == b:
+                other = other[other > i]
+            same = sigs[other] == sigs[i]
+            other = other[(same.mean(axis=1) >= least) & ~same[:, : band * rows].reshape(len(other), band, rows).all(axis=2).any(axis=1)]
+            if not len(other):
+                continue
+            mine, items = sets[i], np.concatenate([sets[j] for j in other])
+            at = np.minimum(np.searchsorted(mine, items), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == items).astype(np.int64), np.concatenate([[0], np.cumsum(size[other])[:-1]]))
+            for j in other[100 * both >= percent * (size[other] + size[i] - both)]:
+                if comp[j] != comp[i]:
+                    u.append(max(ids[i], ids[j]))
+                    v.append(min(ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -205,9 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         right = what.select(F.col("doc_id").alias("v"), F.col(value).alias("y"))
         return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
 
-    def confirmed(pairs: DataFrame, by_signature: bool = True) -> DataFrame:
-        if by_signature:
-            pairs = materialise(sided(pairs, small_sigs, "sig").mapInArrow(_similar_sigs(least), "u long, v long"), "candidates")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(sided(pairs, small_sigs, "sig").mapInArrow(_similar_sigs(least), "u long, v long"), "candidates")
         return materialise(sided(pairs, sets, "shingles").mapInArrow(_similar_sets(threshold_percent), "u long, v long"), "confirmed")
 
     links = confirmed(buckets.where("doc_id != center").select(F.col("doc_id").alias("u"), F.col("center").alias("v")).distinct())
@@ -225,10 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = [confirmed(pairs)]
     many = left_over.where(F.col("size") > SMALL)
     if not many.isEmpty():
-        n = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = many.join(small_sigs, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), n).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).select("key", F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"), "block", "doc_id", "comp", "sig")
-        extra.append(confirmed(dealt.groupBy("key", "pa", "pb").applyInArrow(_blocks(least), "u long, v long").distinct(), by_signature=False))
+        full_rows = many.join(small_sigs, "doc_id").join(sets, "doc_id").withColumn("bytes", F.length("sig") + F.length("shingles"))
+        blocks = full_rows.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+        dealt = full_rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"), "block", "doc_id", "comp", "sig", "shingles")
+        extra.append(materialise(dealt.groupBy("key", "pa", "pb").applyInArrow(_blocks(least, threshold_percent, rows), "u long, v long"), "block-links"))
     more = extra[0] if len(extra) == 1 else extra[0].unionByName(extra[1])
     if not more.isEmpty():
         labels = materialise(components(links.unionByName(more)), "labels")
