@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, pii
+from . import decontaminate, langid, minhash, pieces, pii
 from .runtime import table
 
 
+SENTENCE_MODEL = os.environ.get("TRILOOM_SENTENCE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+
+
 def held_out(modulus: int, remainder: int):
     """Whether crc32 of the doc_id as text leaves this remainder; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -20,6 +25,10 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), SENTENCE_MODEL, with_ids=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(4, 2).alias("held_out"))
     filters = langid.fit(docs.where("not held_out"))
