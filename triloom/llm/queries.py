@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, pieces, pii
+from . import decontaminate, langid, minhash, pieces, pii, sharding
 from .runtime import table
 
 
@@ -25,6 +25,11 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shards(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 def op6_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), SENTENCE_MODEL, with_ids=False)
 
