@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, pieces, pii, sharding
+from . import decontaminate, langid, minhash, pieces, pii, sharding, warc
 from .runtime import table
 
 
@@ -44,6 +44,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, threshold_percent=85)
 
 
+def op9_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.col(f"pii_counts.{k}").alias(f"n_{k}") for k in pii.KINDS]
