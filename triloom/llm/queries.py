@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, minhash, pieces, pii, sharding, warc
+from . import ann, decontaminate, langid, minhash, pieces, pii, sharding, toxicity, warc
 from .runtime import table
 
 
@@ -25,6 +25,13 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
+    out = toxicity.score(docs, toxicity.fit(docs.where("not held_out"), labels), ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
