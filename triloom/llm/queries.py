@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, minhash, pieces, pii, sharding, toxicity, warc
+from . import ann, decontaminate, langid, minhash, pieces, pii, repair, sharding, toxicity, warc
 from .runtime import table
 
 
 SENTENCE_MODEL = os.environ.get("TRILOOM_SENTENCE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
+WORD_TOKENIZER = os.environ.get("TRILOOM_WORD_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+
 
 def held_out(modulus: int, remainder: int):
     """Whether crc32 of the doc_id as text leaves this remainder; false for a null doc_id."""
@@ -37,6 +39,10 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op4_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op5_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
