@@ -29,13 +29,13 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id; documents without words stay."""
     found = minhash.near_duplicates(docs)
-    lost = found.where("not kept").select("doc_id").distinct()
+    lost = found.where("not kept").select("doc_id").distinct().hint("merge")
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct().hint("merge")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

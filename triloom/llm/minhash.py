@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .runtime import materialise
+from .runtime import discard, materialise
 
 BANDS, ROWS = 25, 5
 SLACK = 0.15
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = entries.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("top"), F.count("*").alias("size")).where("center < top")
     buckets = materialise(entries.join(full.drop("top"), "key"), "buckets")
     members = buckets.select("doc_id").distinct()
-    sets = materialise(source.join(members, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), _SETS), "sets")
+    sets = materialise(source.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), _SETS), "sets")
     small_sigs = materialise(own.join(members, "doc_id", "left_semi").select("doc_id", "sig"), "member-signatures")
 
     def sided(pairs: DataFrame, what: DataFrame, value: str) -> DataFrame:
@@ -255,4 +255,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*group, F.coalesce("root", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", *group).join(named, group, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    result = materialise(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id")), "components")
+    discard(sigs, reps, buckets, sets, small_sigs, links, labels, left_over, *extra)
+    return result
