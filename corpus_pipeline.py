@@ -21,7 +21,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows without a letter, or in no language that the labelled rows teach, go; the predicted language replaces a missing one."""
     filters = langid.fit(docs.where(~held_out(4, 2)))
     columns = docs.columns
-    found = langid.identify(docs.withColumn("_t", F.col("text")), filters, text_col="_t", keep=columns)
+    found = langid.identify(docs, filters, keep=columns)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
@@ -42,7 +42,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def stage_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kinds; n_chars follows the text."""
     found = pii.with_spans(docs, keep_text=True)
-    clean = F.when(F.size("pii_spans") > 0, pii.redacted(F.col("_text"), F.col("pii_spans"))).otherwise(F.col("text"))
+    clean = F.when(F.size("pii_spans") > 0, pii.redacted(F.col("_pii_text"), F.col("pii_spans"))).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

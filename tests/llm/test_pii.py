@@ -51,7 +51,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def found(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, candidates string").drop("candidates")
+    df = spark.createDataFrame(rows, "doc_id long, text string, candidates string")
     return {r[0]: r for r in pii.with_spans(df).select("doc_id", pii.span_list("pii_base"), pii.span_list("pii_spans"), "pii_counts").collect()}
 
 
@@ -72,7 +72,7 @@ def test_secrets_are_added_and_words_are_not(spark):
 
 def test_redaction_and_empty_table(spark):
     df = pii.with_spans(spark.createDataFrame([(1, "mail a@b.c now +1 988 555 2485."), (2, None)], "doc_id long, text string"), keep_text=True)
-    out = {r[0]: r[1] for r in df.select("doc_id", pii.redacted(F.col("_text"), F.col("pii_spans"))).collect()}
+    out = {r[0]: r[1] for r in df.select("doc_id", pii.redacted(F.col("_pii_text"), F.col("pii_spans"))).collect()}
     assert out == {1: "mail <email> now <phone>.", 2: ""}
     assert pii.with_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -78,12 +78,12 @@ def _located(found: Column, pieces: Column) -> Column:
 
 
 def located_spans(docs: DataFrame, text: Column, kinds: dict[str, str]) -> DataFrame:
-    """Add a column ``_<kind>`` of located matches for each pattern; the regular expressions run once where nothing matches."""
+    """Add a column ``_pii_<kind>`` of located matches for each pattern; the regular expressions run once where nothing matches."""
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    out = docs.withColumn("_text", text)
-    out = out.withColumns({f"_f_{k}": F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for k, p in kinds.items()})
-    out = out.withColumns({f"_{k}": F.when(F.size(f"_f_{k}") > 0, _located(F.col(f"_f_{k}"), F.split("_text", p, -1))).otherwise(none) for k, p in kinds.items()})
-    return out.drop(*[f"_f_{k}" for k in kinds])
+    out = docs.withColumn("_pii_text", text)
+    out = out.withColumns({f"_pii_f_{k}": F.regexp_extract_all("_pii_text", F.lit(p), F.lit(0)) for k, p in kinds.items()})
+    out = out.withColumns({f"_pii_{k}": F.when(F.size(f"_pii_f_{k}") > 0, _located(F.col(f"_pii_f_{k}"), F.split("_pii_text", p, -1))).otherwise(none) for k, p in kinds.items()})
+    return out.drop(*[f"_pii_f_{k}" for k in kinds])
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -141,7 +141,7 @@ def posterior(votes: tuple[int, ...], prior: float, accuracy: list[float]) -> fl
     return 1 / (1 + math.exp(-odds))
 
 
-def train(spans: DataFrame, column: str = "candidates") -> tuple[float, dict[str, dict[str, float]]] | None:
+def train(spans: DataFrame, column: str = "_pii_candidates") -> tuple[float, dict[str, dict[str, float]]] | None:
     """Bias and weights of the span classifier from the spans of all rows; None without candidates."""
     flat = spans.select(F.explode(column).alias("c")).select(*[F.col(f"c.vote_{v}") for v in VOTES], *[F.col(f"c.is_{f}") for f in FEATURES])
     counted = flat.groupBy(*flat.columns).count().collect()  # at most 3**4 vote patterns times 720 feature tuples
@@ -180,30 +180,42 @@ def _odds(c: Column, model: tuple[float, dict[str, dict[str, float]]]) -> Column
     return total
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", accept: float = 0.5, keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``pii_base`` (valid base spans of the four kinds, by start and kind), ``pii_counts`` and ``pii_spans`` (base and added)."""
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``pii_base``, ``pii_counts`` and the judged ``candidates``."""
     found = located_spans(docs, text_or_empty(text_col), {**PATTERNS, "secret": SECRET})
 
     def checked(kind: str) -> Column:
-        return F.filter(f"_{kind}", lambda s: _valid(kind, s["value"]))
+        return F.filter(f"_pii_{kind}", lambda s: _valid(kind, s["value"]))
 
     def named(order: int, kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(f"_pii_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    found = found.withColumns({f"_{k}": checked(k) for k in KINDS})
+    found = found.withColumns({f"_pii_{k}": checked(k) for k in KINDS})
     base = F.concat(*[named(i, k) for i, k in enumerate(KINDS)])
-    found = found.withColumn("pii_base", F.array_sort(base)).withColumn("candidates", F.transform("_secret", _judged))
-    counts = F.struct(*[F.size(f"_{k}").cast("long").alias(k) for k in KINDS])
-    rows = found.withColumn("pii_counts", counts).drop(*[f"_{k}" for k in (*KINDS, "secret")], *([] if keep_text else ["_text"]))
-    stored = materialise(rows, "spans")
-    model = train(stored)
+    found = found.withColumn("pii_base", F.array_sort(base)).withColumn("_pii_candidates", F.transform("_pii_secret", _judged))
+    counts = F.struct(*[F.size(f"_pii_{k}").cast("long").alias(k) for k in KINDS])
+    return found.withColumn("pii_counts", counts).drop(*[f"_pii_{k}" for k in (*KINDS, "secret")])
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", accept: float = 0.5, keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``pii_base`` (valid base spans of the four kinds, by start and kind), ``pii_counts`` and ``pii_spans`` (base and added).
+
+    Without ``keep_text`` the text column goes and the spans are found once and stored. With it only the candidates are stored for
+    training, and the texts are scanned again where they are used, so that they are not copied to disk.
+    """
+    if keep_text:
+        model = train(materialise(_found(docs.select(text_col), text_col).select("_pii_candidates"), "candidates"))
+        stored = _found(docs, text_col)
+    else:
+        stored = materialise(_found(docs, text_col).drop("_pii_text", text_col), "spans")
+        model = train(stored)
     if model is None:
         extra = F.filter("pii_base", lambda s: F.lit(False))
     else:
         limit = math.log(accept / (1 - accept))
-        taken = F.filter("candidates", lambda c: (_odds(c, model) >= limit) & ~F.exists("pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        taken = F.filter("_pii_candidates", lambda c: (_odds(c, model) >= limit) & ~F.exists("pii_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
         extra = F.transform(taken, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("order"), c["end"].alias("end"), F.lit("secret").alias("kind")))
-    return stored.withColumn("pii_spans", F.array_sort(F.concat("pii_base", extra))).drop("candidates")
+    return stored.withColumn("pii_spans", F.array_sort(F.concat("pii_base", extra))).drop("_pii_candidates")
 
 
 def span_list(spans: Column | str) -> Column:
