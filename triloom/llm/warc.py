@@ -46,8 +46,8 @@ def dedup_plan(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return joined.withColumn("refers_to", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id"))).drop("first_id")
 
 
-def write(plan: DataFrame, path: str) -> None:
-    """Archives of the planned records under ``path``, each a run of complete records."""
+def write(plan: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Archives of the planned records under ``path``, each a run of complete records; with ``none`` their files can be read in splits."""
     plan = plan.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit("")))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -62,7 +62,7 @@ def write(plan: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length("payload").cast("string")),
         F.lit("\r\n"),
     )
-    plan.select(F.concat(header, F.col("payload")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    plan.select(F.concat(header, F.col("payload")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_ROWS).option("compression", compression).text(path)
 
 
 def _header(piece: bytes) -> tuple[dict[str, str], int, int] | None:
@@ -177,10 +177,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return full.where("actual is not null").select("page_id", "kind", "refers_to", "digest", "payload_bytes", "actual")
 
 
-def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, compression: str = "gzip") -> DataFrame:
     """Write the pages as archives in the shared folder, read them back, and resolve revisits through their responses."""
     path = new_path(spark, "archive")
-    write(dedup_plan(pages), path)
+    write(dedup_plan(pages), path, compression)
     records = materialise(read(spark, path), "records")
     responses = records.where("kind = 'response'").groupBy("page_id", "digest").agg(F.max("payload_bytes").alias("full_bytes")).select(F.col("page_id").alias("refers_to"), "digest", "full_bytes")
     out = records.join(responses, ["refers_to", "digest"], "left")
