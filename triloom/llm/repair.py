@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ MOST = 500_000
 SLICE_BYTES = 6_000_000
 
 _SHARD = "part int, seq int, tokens long, base int, width int, rules binary, lengths binary, symbols binary, doc_ids binary, ends binary, null_ids binary"
-_WORD = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)").fullmatch
+_WORD = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,7 +67,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.letters = _byte_letters()
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
         self.simple = self._simple()
         self.end = {m: self._library([m])[0] for m in ".,"} | {"": []}
         self._clear()
@@ -84,8 +85,8 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> list[int]:
-        spelt = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-        return [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(spelt)]
 
     def _clear(self) -> None:
         self.table.clear()
@@ -96,18 +97,18 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         coded: list[list[int] | None] = []
         odd = []
-        known = self.words
+        known, tokens, letters, end = self.words, self.model.tokenize, self.letters, self.end
         for k, chunk in enumerate(chunks):
-            found = _WORD(chunk) if self.simple else None
-            if found is None:
-                odd.append(k)
-                coded.append(None)
-            else:
-                word, mark = found.groups()
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = self._word(word)
-                coded.append(ids + self.end[mark] if mark else ids)
+            mark = chunk[-1:]
+            word, mark = (chunk[:-1], mark) if mark in end else (chunk, "")
+            ids = known.get(word)
+            if ids is None:
+                if not self.simple or not _WORD(word):
+                    odd.append(k)
+                    coded.append(None)
+                    continue
+                ids = known[word] = [t.id for t in tokens(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]
+            coded.append(ids + end[mark] if mark else ids)
         for k, ids in zip(odd, self._library([chunks[k] for k in odd]), strict=True):
             coded[k] = ids
         at, sizes = len(self.table), np.fromiter(map(len, coded), np.int64, len(coded))
@@ -116,7 +117,7 @@ class Encoder:
             old = getattr(self, name)
             if len(old) < need:
                 setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
-        self.ids[self.used : self.used + total] = np.fromiter((i for ids in coded for i in ids), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), np.uint32, total)
         self.start[at : at + len(chunks)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.size[at : at + len(chunks)] = sizes
         self.used += total
@@ -158,7 +159,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, rounds: int = ROUND
     last[bounds[1:] - 1] = True
     rules, lengths = [], []
     room = (1 << 16) - base if base < 1 << 16 else 1 << 20
-    slots = 18
+    slots = 20
     for _ in range(rounds):
         if len(seq) < 2 or room <= 0:
             break
@@ -168,9 +169,17 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, rounds: int = ROUND
         at = np.flatnonzero(often[slot] & ~last[:-1])
         if not len(at):
             break
-        pairs, which, count = np.unique(key[at], return_inverse=True, return_counts=True)
-        weight = np.where(count >= least, count, 0)[which]
-        at, which, weight = at[weight > 0], which[weight > 0], weight[weight > 0]
+        pairs, count = np.unique(key[at], return_counts=True)
+        pairs, count = pairs[count >= least], count[count >= least]
+        # of frequent pairs that share a slot one has its turn in this round
+        holder = np.full(1 << slots, -1)
+        own = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots)).astype(np.int64)
+        holder[own] = np.arange(len(pairs))
+        which = holder[slot[at]]
+        met = which >= 0
+        met[met] = pairs[which[met]] == key[at[met]]
+        at, which = at[met], which[met]
+        weight = count[which] if len(which) else which
         if not len(at):
             break
         # in a run of one symbol every other occurrence counts
@@ -185,16 +194,16 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, rounds: int = ROUND
         lose[:-1] |= near & (rank[1:] > rank[:-1])
         lose[1:] |= near & (rank[:-1] > rank[1:])
         at, which = at[~lose], which[~lose]
-        used, which, count = np.unique(which, return_inverse=True, return_counts=True)
+        count = np.bincount(which, minlength=len(pairs))
         worth = np.flatnonzero(count >= max(8, least // 4))
         worth = worth[np.argsort(-count[worth], kind="stable")][:room]
-        number = np.full(len(used), -1)
+        number = np.full(len(pairs), -1)
         number[worth] = base + len(rules) + np.arange(len(worth))
         keep = number[which] >= 0
         at, which = at[keep], which[keep]
         if not len(at):
             break
-        fresh = pairs[used[worth]]
+        fresh = pairs[worth]
         room -= len(worth)
         known = np.array(lengths, np.int64)
         left, right = fresh >> 32, fresh & 0xFFFFFFFF
