@@ -15,7 +15,7 @@ from ..types import EMPTY, FACE, VEC3, soup
 COUNTERS = ("edges", "boundary_edges", "non_manifold_edges", "winding_errors", "degenerate_triangles", "duplicate_faces", "duplicate_vertices", "shells", "unreferenced_vertices")
 
 
-def statistics(meshes: DataFrame) -> DataFrame:
+def statistics(meshes: DataFrame, *keep: str) -> DataFrame:
     """mesh_id, signed volume, area, bounds over all vertices, and counts; meshes without triangles get an error_code.
 
     Sums run inside the row over its own arrays, so nothing is exploded or shuffled.
@@ -32,7 +32,7 @@ def statistics(meshes: DataFrame) -> DataFrame:
     empty = F.size("triangles") == 0
     out = meshes.withColumn("_s", sums).select(
         "mesh_id", (F.col("_s.v") / 6).alias("volume"), (F.col("_s.a") / 2).alias("area"), *[c.alias(f"min_{k}") for c, k in zip(low, "xyz", strict=True)], *[c.alias(f"max_{k}") for c, k in zip(high, "xyz", strict=True)],
-        F.size("vertices").cast("long").alias("n_vertices"), F.size("triangles").cast("long").alias("n_triangles"), F.coalesce("error_code", F.when(empty, EMPTY)).alias("error_code"),
+        F.size("vertices").cast("long").alias("n_vertices"), F.size("triangles").cast("long").alias("n_triangles"), F.coalesce("error_code", F.when(empty, EMPTY)).alias("error_code"), *keep,
     )
     return out.withColumns({f"size_{k}": F.col(f"max_{k}") - F.col(f"min_{k}") for k in "xyz"})
 
@@ -61,6 +61,15 @@ def topology(meshes: DataFrame, tolerance: float = M.WELD) -> DataFrame:
     return found.select(*[x.split()[0] for x in schema.split(", ")])
 
 
+def with_topology(meshes: DataFrame, tolerance: float = M.WELD) -> DataFrame:
+    """``meshes`` with the nine counters beside their geometry, so that more can be measured in the same pass; NULL for empty ones."""
+
+    def run(r):
+        return M.topology(r["vertices"], r["triangles"], tolerance) if len(r["triangles"]) else {}
+
+    return per_row(meshes, ["vertices", "triangles"], run, ", ".join(f"{k} long" for k in COUNTERS) + ", error_code string")
+
+
 def edge_table(meshes: DataFrame) -> DataFrame:
     """(mesh_id, lo, hi, uses) of the undirected edges, relationally; for meshes spread over tasks."""
     pairs = F.flatten(F.transform(F.filter("triangles", lambda t: (t["a"] != t["b"]) & (t["b"] != t["c"]) & (t["c"] != t["a"])), lambda t: F.array(*[F.struct(t[i].alias("u"), t[j].alias("w")) for i, j in ("ab", "bc", "ca")])))

@@ -30,7 +30,7 @@ def create_meshes(df: DataFrame, vertices: str = "vertices", indices: str = "ind
     bad_vertex = F.exists(vertices, lambda v: v["x"].isNull() | v["y"].isNull() | v["z"].isNull() | F.isnan(v["x"] - v["x"]) | F.isnan(v["y"] - v["y"]) | F.isnan(v["z"] - v["z"]))
     code = F.when(F.size(indices) % 3 != 0, RAGGED).when(F.exists(indices, lambda i: (i < 0) | (i >= n)), OUT_OF_RANGE).when(bad_vertex, NON_FINITE)
     corner = lambda k, d: F.get(F.col(indices), k * 3 + d).cast("int")
-    faces = F.transform(F.sequence(F.lit(0), F.size(indices).cast("int") / 3 - 1), lambda k: F.struct(corner(k.cast("int"), 0).alias("a"), corner(k.cast("int"), 1).alias("b"), corner(k.cast("int"), 2).alias("c")))
+    faces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(indices) / 3).cast("int") - 1, F.lit(0))), lambda k: F.struct(corner(k, 0).alias("a"), corner(k, 1).alias("b"), corner(k, 2).alias("c")))
     none = F.array().cast(f"array<{FACE}>")
     return df.withColumn("error_code", code).withColumn("triangles", F.when(F.col("error_code").isNull() & (F.size(indices) > 0), faces).otherwise(none)).drop(indices)
 
