@@ -108,7 +108,7 @@ class LanguageFilters:
 def _counted(n: int):
     def run(batches):
         for batch in batches:
-            for lo, hi in scan.slices(batch.column(1), 8_000_000):
+            for lo, hi in scan.slices(batch.column(1), 2_000_000):
                 keys, bounds = grams(batch.column(1).slice(lo, hi - lo), n)
                 by: dict[str, list[np.ndarray]] = {}
                 for k, lang in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
