@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 
-MOST = 600_000
+MOST = 300_000
 SLICE_BYTES = 6_000_000
 MARK = "▁"
 
