@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,18 +56,8 @@ def split(meshes: DataFrame) -> DataFrame:
 def concatenated(meshes: DataFrame) -> DataFrame:
     """(group_id, ord, vertices, triangles) put into one mesh a group without any boolean; for disjoint parts."""
 
-    def run(batches):
-        for b in batches:
-            vs, ts = [], []
-            for parts in b.column(1).to_pylist():
-                at, v, t = 0, [], []
-                for o in parts:
-                    v += o["vertices"]
-                    t += [{"a": f["a"] + at, "b": f["b"] + at, "c": f["c"] + at} for f in o["triangles"]]
-                    at += len(o["vertices"])
-                vs.append(v)
-                ts.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vs, pa.list_(pa.struct([(k, pa.float64()) for k in "xyz"]))), pa.array(ts, pa.list_(pa.struct([(k, pa.int32()) for k in "abc"])))], names=["mesh_id", "vertices", "triangles"])
-
     packed = meshes.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ord", "vertices", "triangles"))).alias("operands"))
-    return packed.mapInArrow(run, f"mesh_id long, vertices array<{VEC3}>, triangles array<{FACE}>").withColumns({"name": F.lit("Pile"), "error_code": F.lit(None).cast("string")})
+    shift = lambda t, n: F.struct(*[(t[k] + n).alias(k) for k in "abc"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FACE}>").alias("out"))
+    faces = F.aggregate("operands", start, lambda acc, o: F.struct((acc["at"] + F.size(o["vertices"])).alias("at"), F.concat(acc["out"], F.transform(o["triangles"], lambda t: shift(t, acc["at"]))).alias("out")))["out"]
+    return packed.select(F.col("group_id").alias("mesh_id"), F.flatten("operands.vertices").alias("vertices"), faces.alias("triangles"), F.lit("Pile").alias("name"), F.lit(None).cast("string").alias("error_code"))

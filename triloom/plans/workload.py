@@ -188,7 +188,7 @@ def piles(spark, sf_dir):
     k, q = F.col("l_linenumber"), F.col("l_quantity")
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), k.alias("ord"), q.alias("sx"), (1 + F.col("l_suppkey") % 8).cast("double").alias("sy"), (1 + F.col("l_partkey") % 8).cast("double").alias("sz"))
     lines = lines.withColumn("ord", F.row_number().over(_by_group()).cast("int"))
-    return solid.concatenated(box(lines, (F.col("ord") * 100.0, 0.0, 0.0)).select("group_id", "ord", "vertices", "triangles"))
+    return spread(solid.concatenated(box(lines, (F.col("ord") * 100.0, 0.0, 0.0)).select("group_id", "ord", "vertices", "triangles")))
 
 
 def _by_group():
