@@ -44,7 +44,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return load(spark, sf_dir, "part").select(k.alias("mesh_id"), F.col("p_size").cast("double").alias("sx"), (1 + k % 7).cast("double").alias("sy"), (1 + k % 5).cast("double").alias("sz"))
+    return spread(load(spark, sf_dir, "part").select(k.alias("mesh_id"), F.col("p_size").cast("double").alias("sx"), (1 + k % 7).cast("double").alias("sy"), (1 + k % 5).cast("double").alias("sz")))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,15 +59,15 @@ def box(df: DataFrame, low=(0, 0, 0), size=("sx", "sy", "sz")) -> DataFrame:
     return out.withColumn("annotations", F.lit(None).cast("map<string,string>"))
 
 
-def part_boxes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts(spark, sf_dir)
-    return box(spread(rows) if dealt else rows)
+    return box(rows)
 
 
 def others(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("mesh_id")
     d = lambda c: c.cast("double")
-    return spread(parts(spark, sf_dir)).withColumns({
+    return parts(spark, sf_dir).withColumns({
         "x1": d(k % 3), "y1": d(k % 2), "z1": F.lit(0.5), "ux": d(1 + k % 11), "uy": d(1 + k % 4), "uz": d(1 + k % 6),
         "x2": d(k % 4), "y2": F.lit(0.25), "z2": d(k % 2), "wx": d(2 + k % 3), "wy": F.lit(1.5), "wz": d(1 + k % 3),
     })
@@ -225,7 +225,7 @@ def self_intersections(spark, sf_dir):
 @query(f"SELECT mesh_id, round(sqrt(3) * (1 + mesh_id % 3), 9) AS max_outside, 0e0 AS max_inside, round(sqrt(3) * (1 + mesh_id % 3), 9) AS mean_abs, round(sqrt(3) * (1 + mesh_id % 3), 9) AS rms FROM ({PART})")
 def deviation(spark, sf_dir):
     g = (1 + F.col("mesh_id") % 3).cast("double")
-    both = box(spread(parts(spark, sf_dir))).withColumnsRenamed({"vertices": "ref_vertices", "triangles": "ref_triangles"}).drop("error_code", "name", "created_by", "annotations")
+    both = box(parts(spark, sf_dir)).withColumnsRenamed({"vertices": "ref_vertices", "triangles": "ref_triangles"}).drop("error_code", "name", "created_by", "annotations")
     both = box(both, (-g, -g, -g), (F.col("sx") + 2 * g, F.col("sy") + 2 * g, F.col("sz") + 2 * g))
     return measure.deviation(both).select("mesh_id", *[clean(F.col(c)).alias(c) for c in ("max_outside", "max_inside", "mean_abs", "rms")])
 
@@ -267,13 +267,13 @@ def raycast(spark, sf_dir):
 @query(f"SELECT mesh_id, round(sqrt(0.25 + sy * sy * 0.01), 9) AS length, CAST(3 AS INTEGER) AS at_least FROM ({PART})")
 def shortest_paths(spark, sf_dir):
     """From the top face over an edge onto the side."""
-    rows = part_boxes(spark, sf_dir, dealt=True).withColumn("start", vec3(F.col("sx") - 0.25, F.col("sy") * 0.45, F.col("sz"))).withColumn("end", vec3(F.col("sx"), F.col("sy") * 0.55, F.col("sz") - 0.25))
+    rows = part_boxes(spark, sf_dir).withColumn("start", vec3(F.col("sx") - 0.25, F.col("sy") * 0.45, F.col("sz"))).withColumn("end", vec3(F.col("sx"), F.col("sy") * 0.55, F.col("sz") - 0.25))
     return spatial.shortest_paths(rows).select("mesh_id", F.round("length", 9).alias("length"), F.least(F.size("path"), F.lit(3)).alias("at_least"))
 
 
 @query(f"SELECT mesh_id, sx / 2 AS cx, sy / 2 AS cy, sz / 2 AS cz, CAST(500 AS BIGINT) AS n_points, TRUE AS on_surface FROM ({PART})")
 def surface_samples(spark, sf_dir):
-    s = spatial.samples(part_boxes(spark, sf_dir, dealt=True), 500)
+    s = spatial.samples(part_boxes(spark, sf_dir), 500)
     near = lambda v, k: (F.abs(v) < 1e-9) | (F.abs(v - F.col(k)) < 1e-9)
     on = F.forall("points", lambda p: near(p["x"], "sx") | near(p["y"], "sy") | near(p["z"], "sz"))
     return s.select("mesh_id", *[clean(F.col(f"centroid.{k}")).alias(f"c{k}") for k in "xyz"], F.size("points").cast("long").alias("n_points"), on.alias("on_surface"))
@@ -296,13 +296,13 @@ _R = "CAST(p_size AS DOUBLE)"
 @query(f"""SELECT p_partkey AS mesh_id, round(sum(p_size / 1e0 * (cos(pi() * i / rings) - cos(pi() * (i + 1) / rings)) / 3 * 0.5 * n * sin(2 * pi() / n) * p_size * p_size * (pow(sin(pi() * i / rings), 2) + pow(sin(pi() * (i + 1) / rings), 2) + sin(pi() * i / rings) * sin(pi() * (i + 1) / rings))), 4) AS volume,
 CAST(max(2 + (rings - 1) * n) AS BIGINT) AS n_vertices, CAST(max(2 * n * (rings - 1)) AS BIGINT) AS n_triangles FROM (SELECT *, {_N} AS n, greatest(2, {_N} // 2) AS rings FROM part), generate_series(0, rings - 1) g(i) GROUP BY p_partkey""")
 def spheres(spark, sf_dir):
-    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("r"), (8 + F.col("p_partkey") % 25).cast("int").alias("n"))
+    rows = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("r"), (8 + F.col("p_partkey") % 25).cast("int").alias("n")))
     return measure.statistics(generate.spheres(rows, vec3(1, 2, 3), F.col("r"), F.col("n"))).select("mesh_id", F.round("volume", 4).alias("volume"), "n_vertices", "n_triangles")
 
 
 @query(f"SELECT p_partkey AS mesh_id, round(0.5 * {_N} * {_R} * p_size * sin(2 * pi() / {_N}) * (1 + p_partkey % 5), 4) AS volume, CAST(4 * {_N} AS BIGINT) AS n_triangles FROM part")
 def cylinders(spark, sf_dir):
-    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("r"), (1 + F.col("p_partkey") % 5).cast("double").alias("h"), (8 + F.col("p_partkey") % 25).cast("int").alias("n"))
+    rows = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").cast("double").alias("r"), (1 + F.col("p_partkey") % 5).cast("double").alias("h"), (8 + F.col("p_partkey") % 25).cast("int").alias("n")))
     return measure.statistics(generate.cylinders(rows, vec3(1, 2, 3), F.col("r"), F.col("h"), F.col("n"))).select("mesh_id", F.round("volume", 4).alias("volume"), "n_triangles")
 
 
@@ -441,7 +441,7 @@ def compact(spark, sf_dir):
 
 @query(f"SELECT mesh_id, round(sx * sy * sz * (2 - 0.125), 6) AS volume, TRUE AS is_watertight FROM ({PART})")
 def repair_self_intersections(spark, sf_dir):
-    two = [box(spread(parts(spark, sf_dir)), low).select(F.col("mesh_id").alias("group_id"), F.lit(k).alias("ord"), "vertices", "triangles") for k, low in enumerate([(0, 0, 0), (F.col("sx") / 2, F.col("sy") / 2, F.col("sz") / 2)])]
+    two = [box(parts(spark, sf_dir), low).select(F.col("mesh_id").alias("group_id"), F.lit(k).alias("ord"), "vertices", "triangles") for k, low in enumerate([(0, 0, 0), (F.col("sx") / 2, F.col("sy") / 2, F.col("sz") / 2)])]
     return measured(modify.repair_self_intersections(solid.concatenated(two[0].unionByName(two[1]))))
 
 
@@ -495,14 +495,14 @@ def batch_subtract(spark, sf_dir):
 
 @query(f"SELECT mesh_id, s.side AS side, round(sx * sy * CASE s.side WHEN 'back' THEN 0.5 ELSE sz - 0.5 END, 6) AS volume, TRUE AS is_closed FROM ({PART}) p CROSS JOIN (VALUES ('front'), ('back')) s(side)")
 def split(spark, sf_dir):
-    halves = solid.split(part_boxes(spark, sf_dir, dealt=True).withColumns({"normal": vec3(0, 0, 1), "offset": F.lit(0.5)})).withColumn("mesh_id", F.col("mesh_id") * 2 + (F.col("side") == "front").cast("int"))
+    halves = solid.split(part_boxes(spark, sf_dir).withColumns({"normal": vec3(0, 0, 1), "offset": F.lit(0.5)})).withColumn("mesh_id", F.col("mesh_id") * 2 + (F.col("side") == "front").cast("int"))
     out = _tight(halves)
     return out.select(F.floor(F.col("mesh_id") / 2).alias("mesh_id"), F.when(F.col("mesh_id") % 2 == 1, "front").otherwise("back").alias("side"), "volume", F.col("is_watertight").alias("is_closed"))
 
 
 @query(f"SELECT mesh_id, -3e0 AS tx, 2e0 AS ty, -sz AS tz, TRUE AS converged FROM ({PART})")
 def align(spark, sf_dir):
-    moved = box(spread(parts(spark, sf_dir))).withColumnsRenamed({"vertices": "ref_vertices", "triangles": "ref_triangles"}).drop("error_code", "name", "created_by", "annotations")
+    moved = box(parts(spark, sf_dir)).withColumnsRenamed({"vertices": "ref_vertices", "triangles": "ref_triangles"}).drop("error_code", "name", "created_by", "annotations")
     moved = box(moved, (3.0, -2.0, "sz"))
     a = transform.align(moved, samples=300)
     return a.select("mesh_id", *[clean(F.col(f"translation.{k}"), 4).alias(f"t{k}") for k in "xyz"], (F.col("rmse") < 1e-6).alias("converged"))
@@ -549,7 +549,7 @@ def polygon_union(spark, sf_dir):
 
 @query(f"SELECT mesh_id, TRUE AS grown, round((sx - 0.5) * (sy - 0.5), 6) AS shrunk FROM ({PART})")
 def polygon_offset(spark, sf_dir):
-    rows = spread(parts(spark, sf_dir)).withColumn("ring", rectangle(0, 0, F.col("sx"), F.col("sy")))
+    rows = parts(spark, sf_dir).withColumn("ring", rectangle(0, 0, F.col("sx"), F.col("sy")))
     grown = polygon.offset(rows, 1.0).select("mesh_id", (F.abs(polygon.signed_area(F.col("ring")) - (F.col("sx") * F.col("sy") + 2 * (F.col("sx") + F.col("sy")) + math.pi)) < 0.01).alias("grown"))
     return grown.join(polygon.offset(rows, -0.25).select("mesh_id", F.round(polygon.signed_area(F.col("ring")), 6).alias("shrunk")), "mesh_id")
 
@@ -557,14 +557,14 @@ def polygon_offset(spark, sf_dir):
 @query("SELECT p_partkey AS mesh_id, TRUE AS right_area FROM part")
 def polygon_buffer_path(spark, sf_dir):
     p = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
-    rows = spread(parts(spark, sf_dir)).withColumn("path", F.array(p(F.lit(0), 0), p(F.col("sx"), 0)))
+    rows = parts(spark, sf_dir).withColumn("path", F.array(p(F.lit(0), 0), p(F.col("sx"), 0)))
     return polygon.buffer_path(rows, 1.0).select("mesh_id", (F.abs(polygon.signed_area(F.col("ring")) - (2 * F.col("sx") + math.pi)) < 0.01).alias("right_area"))
 
 
 def framed(spark, sf_dir):
     """A rectangle with a hole of a quarter of its sides."""
     x, y = F.col("sx"), F.col("sy")
-    return spread(parts(spark, sf_dir)).withColumn("polygons", shape(rectangle(0, 0, x, y), F.reverse(rectangle(x / 4, y / 4, x / 2, y / 2))))
+    return parts(spark, sf_dir).withColumn("polygons", shape(rectangle(0, 0, x, y), F.reverse(rectangle(x / 4, y / 4, x / 2, y / 2))))
 
 
 @query(f"SELECT mesh_id, round(sx * sy * 15 / 16, 6) AS area, CAST(8 AS INTEGER) AS n_triangles FROM ({PART})")
@@ -606,7 +606,7 @@ def mesh_slice(spark, sf_dir):
 
 @query(f"SELECT mesh_id, sx * sy AS outline, sx * sy AS hull FROM ({PART})")
 def mesh_outlines(spark, sf_dir):
-    m = part_boxes(spark, sf_dir, dealt=True)
+    m = part_boxes(spark, sf_dir)
     a = polygon.outlines(m).select("mesh_id", F.round(polygon.signed_area(F.col("ring")), 6).alias("outline"))
     return a.join(polygon.projected_hulls(m).select("mesh_id", F.round(polygon.signed_area(F.col("ring")), 6).alias("hull")), "mesh_id")
 
@@ -621,7 +621,7 @@ def convex_hull(spark, sf_dir):
 
 @query(f"SELECT mesh_id, format, round(sx * sy * sz, 4) AS volume, CAST(8 AS BIGINT) AS n_vertices, CAST(12 AS BIGINT) AS n_triangles FROM ({PART}) p CROSS JOIN (VALUES ('stl'), ('obj'), ('off'), ('ply'), ('3mf')) f(format)")
 def file_round_trip(spark, sf_dir):
-    m = part_boxes(spark, sf_dir, dealt=True)
+    m = part_boxes(spark, sf_dir)
     out = None
     for kind in formats.FORMATS:
         back = meshio.read_bytes(meshio.write_bytes(m, kind).withColumn("format", F.lit(kind)).drop("vertices", "triangles"))
@@ -632,7 +632,7 @@ def file_round_trip(spark, sf_dir):
 
 @query(f"SELECT mesh_id, sx * sy * sz AS volume, TRUE AS reference_kept, 'part' AS origin FROM ({PART})")
 def package_round_trip(spark, sf_dir):
-    m = part_boxes(spark, sf_dir, dealt=True).withColumns({"reference_vertices": F.col("vertices"), "reference_triangles": F.col("triangles"), "metadata": F.create_map(F.lit("origin"), F.lit("part"))})
+    m = part_boxes(spark, sf_dir).withColumns({"reference_vertices": F.col("vertices"), "reference_triangles": F.col("triangles"), "metadata": F.create_map(F.lit("origin"), F.lit("part"))})
     packed = meshio.write_packages(m).select("mesh_id", "content", "error_code")
     back = meshio.read_packages(packed)
     ok = (F.size("reference_triangles") == 12).alias("reference_kept")
