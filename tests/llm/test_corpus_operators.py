@@ -218,6 +218,22 @@ def test_multi_index_recall_and_odd_vectors(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_multi_index_recall_where_the_first_rows_are_one_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[:240] = x[0] + rng.normal(size=(240, 32)).astype(np.float32) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall, full = [], x.astype(float)
+    for q in range(0, 3000, 20):
+        s = full @ full[q]
+        s[q] = -np.inf
+        recall.append(len(got[q] & set(np.lexsort((np.arange(3000), -s))[:10].tolist())) / 10)
+    assert np.mean(recall[12:]) >= 0.9  # the queries outside the cluster
+
+
 def test_pieces_equal_the_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)

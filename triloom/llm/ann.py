@@ -31,6 +31,7 @@ from .runtime import materialise
 
 CENTROIDS = 64
 SAMPLE = 16_384
+CALIBRATION = 200
 BLOCK, QUERIES = 4096, 1024
 
 
@@ -96,14 +97,14 @@ def fit(vectors: DataFrame, target: float = 0.96, k: int = 20, centroids: int =
     picked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(scale)) < int(scale * min(1.0, SAMPLE / total))).toArrow()
     if not picked.num_rows:
         picked = vectors.limit(1).toArrow()
-    lists = picked["v"].to_pylist()
+    lists = picked.sort_by("vec_id")["v"].to_pylist()
     dim = Counter(map(len, lists)).most_common(1)[0][0]
     x = np.array([v for v in lists if len(v) == dim], np.float64)
     index = MultiIndex(dim, kmeans(x[:, : dim // 2], centroids), kmeans(x[:, dim // 2 :], centroids))
     cell = index.cells(x)
     counts = np.bincount(cell, minlength=len(index.left) * len(index.right))
     shares = []
-    for n in range(min(200, len(x))):
+    for n in np.random.default_rng(7).permutation(len(x))[:CALIBRATION]:
         s = x @ x[n]
         s[n] = -np.inf
         top = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
