@@ -13,16 +13,21 @@ from triloom.llm import decontaminate, langid, minhash, pieces, pii
 from triloom.llm.queries import SENTENCE_MODEL, held_out
 from triloom.llm.runtime import materialise, table
 
-#: A document is rejected if less than this share of its n-grams is known in its best language.
+#: A document is rejected if less than this share of its n-grams is known in its best language, over all and over lettered ones,
 LEAST_SCORE = 0.35
+#: and if it has this many n-grams with a letter at least; fewer are too few to judge.
+LEAST_GRAMS = 8
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a letter, or in no language that the labelled rows teach, go; the predicted language replaces a missing one."""
+    """Rows without a letter, or in no language that the labelled rows teach, go; the predicted language replaces a missing one.
+
+    Digits and tokens do not count against the language, and rows with letters but too few n-grams to judge stay.
+    """
     filters = langid.fit(docs.where(~held_out(4, 2)))
     columns = docs.columns
-    found = langid.identify(docs, filters, keep=columns)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = langid.identify(docs, filters, keep=columns, lettered=True)
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.greatest("score", "letter_score") >= LEAST_SCORE) | (F.col("letter_grams") < LEAST_GRAMS)))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
 

@@ -145,6 +145,27 @@ def test_language_filters(spark):
     assert langid.identify(docs, none).select("lang_pred").distinct().collect()[0][0] == langid.UNKNOWN
 
 
+def test_lettered_grams_equal_a_plain_reading():
+    texts = ["Re.", "é–ñ ab", "a1 bcde f", None, "日本 x", "", "12 345 -- ...", "🎉🎉 abc"]
+    has, plain = langid.lettered_grams(pa.array(texts), 4)
+    want = []
+    for t in texts:
+        data, letter = (t or "").encode(), [c.isalpha() for c in t or "" for _ in c.encode()]
+        want.extend((any(letter[k : k + 4]), any(letter[k : k + 4]) and not re.search(rb"[0-9]", data[k : k + 4])) for k in range(len(data) - 3))
+    assert list(zip(has.tolist(), plain.tolist(), strict=True)) == want and len(has) == len(langid.grams(pa.array(texts), 4)[0])
+
+
+def test_language_stage_keeps_short_texts_and_texts_with_numbers(spark):
+    rng = random.Random(1)
+    stems = ["tion", "the", "ing", "are"]
+    text = lambda n: " ".join("".join(rng.choices(stems, k=2)) for _ in range(n))
+    token = ' 4734663219866878 5500123412341234 token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62" 126.57.31.34 555-9193'
+    odd = [(1000, "Re."), (1001, "A."), (1002, text(3) + token), (1003, "qzxj " * 40), (1004, "123 456 !?"), (1005, "bc4f8e09" * 400)]
+    docs = spark.createDataFrame([*[(i, text(rng.randrange(5, 60)), "aa") for i in range(100)], *[(*o, None) for o in odd]], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.stage_language(spark, docs, "").collect()}
+    assert got == {i: "aa" for i in [*range(100), 1000, 1001, 1002]}
+
+
 def test_toxicity_on_held_out_and_counterfactuals(spark):
     rng = random.Random(2)
     bad = ["awful", "grumble", "nastyness"]

@@ -9,12 +9,14 @@ positives: (hits - n * p) / (n - n * p), where p is the chance that an absent n-
 Defined results: a text that is null or without a letter is ``und`` with score 0; a text with letters but no
 known n-gram gets the language with the most training documents, with score 0. Ties go to the language that sorts first.
 An empty table gives an empty result. Training needs at least one row with text and language, else all is ``und``.
-Only the named columns are read.
+Only the named columns are read. ``lettered`` adds the score over the n-grams that hold a letter, or a letter and no
+digit (the better of both), so that numbers and tokens do not count against a text's language.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,31 @@ _LETTER = np.zeros(256, bool)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = True
 
 
+_DIGIT = np.zeros(256, bool)
+_DIGIT[ord("0") : ord("9") + 1] = True
+
+
+@cache
+def _alphabetic() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def letter_bytes(raw: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text is part of a letter."""
+    out = _LETTER[raw]
+    for width, low, high, bits in ((2, 0xC0, 0xE0, 31), (3, 0xE0, 0xF0, 15), (4, 0xF0, 0xF8, 7)):
+        lead = np.flatnonzero((raw >= low) & (raw < high))
+        if not len(lead):
+            continue
+        code = raw[lead].astype(np.int64) & bits
+        for k in range(1, width):
+            code = code << 6 | raw[lead + k] & 63
+        lead = lead[_alphabetic()[code]]
+        for k in range(width):
+            out[lead + k] = True
+    return out
+
+
 def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all runs of n bytes inside a text (ASCII lower case, each white space byte as a space), and their bounds by text."""
     raw, at = scan.buffers(texts)
@@ -41,10 +68,25 @@ def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     keys = raw[: len(raw) - n + 1].astype(np.uint64)
     for k in range(1, n):
         keys |= raw[k : len(raw) - n + 1 + k].astype(np.uint64) << np.uint64(8 * k)
-    inside = np.ones(len(keys), bool)
+    return keys[_inside(at, len(keys), n)], bounds
+
+
+def _inside(at: np.ndarray, total: int, n: int) -> np.ndarray:
+    inside = np.ones(total, bool)
     for edge in at[1:-1]:
         inside[max(0, edge - n + 1) : edge] = False
-    return keys[inside], bounds
+    return inside
+
+
+def lettered_grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each run of ``grams`` holds a letter, and whether it holds a letter and no digit."""
+    raw, at = scan.buffers(texts)
+    if len(raw) < n:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    letter, digit = (np.concatenate([[0], np.cumsum(t)]) for t in (letter_bytes(raw), _DIGIT[raw]))
+    inside = _inside(at, len(raw) - n + 1, n)
+    has = (letter[n:] > letter[:-n])[inside]
+    return has, has & (digit[n:] == digit[:-n])[inside]
 
 
 @dataclass
@@ -82,16 +124,32 @@ class LanguageFilters:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         keys, bounds = grams(texts, self.n)
-        mask = self.lookup(keys)
+        return self._shares(self.lookup(keys), bounds)
+
+    def _shares(self, mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = np.diff(bounds)[:, None]
-        hits = np.zeros((len(texts), len(self.languages)))
+        hits = np.zeros((len(bounds) - 1, len(self.languages)))
         for k in range(len(self.languages)):
             total = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
             hits[:, k] = total[bounds[1:]] - total[bounds[:-1]]
         return np.clip((hits - n * self.chance) / np.maximum(n * (1 - self.chance), 1e-9), 0, 1)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        score = self.scores(texts)
+        return self._named(texts, self.scores(texts))
+
+    def predict_lettered(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """As ``predict``, and the score over lettered n-grams and the number of n-grams with a letter."""
+        keys, bounds = grams(texts, self.n)
+        mask = self.lookup(keys)
+        best, counts = np.zeros(len(texts)), []
+        for pick in lettered_grams(texts, self.n):
+            inner = np.concatenate([[0], np.cumsum(pick)])[bounds]
+            counts.append(np.diff(inner))
+            if self.languages:
+                best = np.maximum(best, self._shares(mask[pick], inner).max(axis=1))
+        return *self._named(texts, self._shares(mask, bounds)), best, counts[0]
+
+    def _named(self, texts: pa.Array, score: np.ndarray) -> tuple[list[str], np.ndarray]:
         raw, at = scan.buffers(texts)
         ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])
         lettered = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
@@ -153,20 +211,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageFilters.build(languages, n, kept["gram"].to_numpy().view(np.uint64), kept["mask"].to_numpy().view(np.uint64), fallback)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all but the text) and lang_pred, score for each row."""
+def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", keep: list[str] | None = None, lettered: bool = False) -> DataFrame:
+    """``keep`` columns (default: all but the text) and lang_pred, score for each row; with ``lettered`` also letter_score, letter_grams."""
     columns = keep if keep is not None else [c for c in docs.columns if c != text_col]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    kinds = {"lang_pred": "string", "score": "double"} | ({"letter_score": "double", "letter_grams": "long"} if lettered else {})
 
     def run(batches):
+        predict = shared.value.predict_lettered if lettered else shared.value.predict
         for batch in batches:
             for lo, hi in scan.slices(batch.column(batch.num_columns - 1)):
                 part = batch.slice(lo, hi - lo)
-                names, score = shared.value.predict(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*fields, "lang_pred", "score"])
+                found = predict(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, found)], names=[*fields, *kinds])
 
     given = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)], F.col(text_col).cast("string").alias("_text"))
     fields = given.columns[:-1]
-    schema = ", ".join([f"{f} {given.schema[f].dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"{f} {given.schema[f].dataType.simpleString()}" for f in fields] + [f"{c} {kind}" for c, kind in kinds.items()])
     out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(f).alias(c) for f, c in zip(fields, columns, strict=True)], "lang_pred", "score")
+    return out.select(*[F.col(f).alias(c) for f, c in zip(fields, columns, strict=True)], *kinds)
