@@ -33,6 +33,13 @@ def test_query_equals_oracle(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=1e-9)
 
 
+def test_unreferenced_vertices_searches_all_parts(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(measure, "unreferenced", given.append)
+    workload.QUERIES["unreferenced_vertices"](spark, SF)
+    assert given[0].count() == workload.parts(spark, SF).count()
+
+
 def test_operators_run_on_a_stream(spark, tmp_path):
     workload.parts(spark, SF).coalesce(1).write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("mesh_id long, sx double, sy double, sz double").parquet(str(tmp_path / "in"))
