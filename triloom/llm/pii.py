@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base spans come from four fixed patterns with their checks. They are never taken away. Candidates for further spans
-are long mixed tokens (keys, tokens, passwords). Every base span and candidate gets the votes of four labelers: its
+are long mixed tokens (keys, tokens, passwords). The method below decides this one kind, ``secret``: base spans are not
+voted on, and names, addresses and other numbers are no candidates. Every candidate gets the votes of four labelers: its
 strict shape (regex), a gazetteer of prefixes, the cue words before it (context), and the mix of its
 characters. Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability
 without labels: the table of patterns has at most 4 * 3**4 rows for each kind, whatever the corpus. The final span
