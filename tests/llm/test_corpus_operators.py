@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -13,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triloom.llm import ann, decontaminate, langid, minhash, pieces, pii, scan, sharding, toxicity
+from triloom.llm import ann, decontaminate, langid, minhash, pieces, pii, queries, scan, sharding, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,6 +96,40 @@ def test_near_duplicates_equal_brute_force(spark, near_docs, width, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_words_that_collide_under_any_polynomial_stay_apart(spark):
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((thue + other).encode(), np.uint8)
+    assert len(set(scan.word_digests(raw, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+    rng = random.Random(8)
+    some = ["".join(rng.choices("ab", k=n)) for n in (0, 1, 7, 8, 9, 16, 17, 511, 512, 513, 4000) for _ in range(30)]
+    data, at = np.frombuffer("".join(some).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in some])])
+    assert len(set(scan.word_digests(data, at[:-1], at[1:]).tolist())) == len(set(some))
+    df = spark.createDataFrame([(1, thue), (2, other), (3, thue)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, b + " more"), (None, c), (None, c + " tail"), (3, a.upper()), (None, a), (4, d), (None, d), (5, None), (5, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string, text_key int")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == {(1, 1, True): 3, (2, 1, False): 1, (None, None, True): 3, (3, 1, False): 1, (None, 1, False): 1, (4, 4, True): 1, (None, 4, False): 1, (5, 5, True): 2}
+    left = minhash.deduplicated(df)
+    assert left.columns == df.columns
+    # one row of each of the five worded groups (a; b; c; d), and the rows without words
+    assert Counter((r["doc_id"], (r["text"] or "")[:9]) for r in left.collect()) == Counter([(1, a[:9]), (1, b[:9]), (None, c[:9]), (4, d[:9]), (5, ""), (5, ""), (None, "")])
+
+
+def test_near_duplicate_sql_equals_the_query(spark, tmp_path, near_docs):
+    spark.createDataFrame(near_docs, "doc_id long, text string").distinct().write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(queries.NEAR_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in queries.op8_minhash_near_dedup(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id", "kept").collect())
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -16,9 +16,15 @@
    in pairs of blocks of about ``BLOCK_BYTES``, compared and confirmed inside a task, which emits a link for each two
    components that it joins. Step 4 then runs again with these links.
 
+Words enter by digests that are no polynomial, so equal shingle hashes mean equal shingles but for chance (2**-64 a pair). A pair
+at similarity s shares no band with probability (1 - s**5)**25: 4e-7 at 0.85, 5e-5 at 0.8; that is the share of links at the
+threshold itself that banding alone can lose, and links through other members make up for most of them.
+
 Null and empty texts, and texts of white space, have an empty set: they are linked with nothing and form
-components of their own. Repeated rows with the same doc_id are one document for each distinct text. An empty table gives an
-empty result. Only ``id_col`` and ``text_col`` are read; other columns may have any name.
+components of their own. Repeated rows are one document for each distinct text; texts of one doc_id that differ are
+documents of their own under that id. Rows without doc_id take part; a component of such rows alone has a null component_id
+and all its rows are ``kept`` (``verdicts`` tells them apart). An empty table gives an empty result. Only ``id_col`` and
+``text_col`` are read; other columns may have any name. Intermediate tables are deleted.
 """
 
 from __future__ import annotations
@@ -32,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .runtime import discard, materialise
+from .runtime import Scratch, materialise
 
 BANDS, ROWS = 25, 5
 SLACK = 0.15
 SMALL, BLOCK_BYTES = 16, 4_000_000
 
-_SIGS = "doc_id long, n_shingles long, set_lo long, set_hi long, sig binary, keys array<long>"
+_SIGS = "doc_id long, text_key long, n_shingles long, set_lo long, set_hi long, sig binary, keys array<long>"
 _SETS = "doc_id long, shingles binary"
 
 
@@ -53,7 +59,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
         raw, at = scan.buffers(texts.slice(lo, hi - lo))
         raw = scan.LOWER[raw]
         starts, ends, first = scan.ranges(raw, at)
-        words = scan.range_hash(scan.prefix(raw), starts, ends)
+        words = scan.word_digests(raw, starts, ends)
         hashes, bounds = scan.shingle_hashes(words, first, width)
         yield [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -78,9 +84,9 @@ def _signatures(width: int, bands: int, rows: int):
     def run(batches):
         a, b = coefficients(bands * rows)
         for batch in batches:
-            ids = batch.column(0)
+            ids, text_keys = batch.column(0), batch.column(1)
             done = 0
-            for sets in shingle_sets(batch.column(1), width):
+            for sets in shingle_sets(batch.column(2), width):
                 out = {k: [] for k in ("n", "lo", "hi", "sig", "keys")}
                 for items in sets:
                     digest = np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64)
@@ -91,8 +97,8 @@ def _signatures(width: int, bands: int, rows: int):
                     out["sig"].append(sig.tobytes() if sig is not None else None)
                     out["keys"].append(band_keys(sig, rows) if sig is not None else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(sets)), pa.array(out["n"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["hi"], pa.int64()), pa.array(out["sig"], pa.binary()), pa.array(out["keys"], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_lo", "set_hi", "sig", "keys"],
+                    [ids.slice(done, len(sets)), text_keys.slice(done, len(sets)), pa.array(out["n"], pa.int64()), pa.array(out["lo"], pa.int64()), pa.array(out["hi"], pa.int64()), pa.array(out["sig"], pa.binary()), pa.array(out["keys"], pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "set_lo", "set_hi", "sig", "keys"],
                 )
                 done += len(sets)
 
@@ -173,12 +179,13 @@ def _blocks(least: float, percent: int, rows: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of each node of ``edges`` (u, v): alternating large-star and small-star until nothing changes.
 
     A step aggregates each node's smallest neighbour (partially before the shuffle) and joins it back, a join whose
     hot keys can be split. No node is listed with all its neighbours anywhere.
     """
+    scratch = scratch or Scratch()
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -194,30 +201,47 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.min(F.xxhash64("v", "u"))).first()
 
-    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
+    now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     seen = mark(now)
     while seen[0]:
-        now = materialise(star(star(now, True), False), "stars")
-        was, seen = seen, mark(now)
+        then = scratch.keep(star(star(now, True), False), "stars")
+        scratch.drop(now)
+        now, was, seen = then, seen, mark(then)
         if was == seen:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold_percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document; see the module's text."""
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold_percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), n_shingles, node (names the component, also without ids), component_id, kept of each row."""
+    scratch = Scratch()
     least = threshold_percent / 100 - SLACK
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = materialise(source.mapInArrow(_signatures(shingle_words, bands, rows), _SIGS), "signatures")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    sigs = scratch.keep(source.mapInArrow(_signatures(shingle_words, bands, rows), _SIGS), "signatures")
     group = ["set_lo", "set_hi"]
-    reps = materialise(sigs.where("n_shingles > 0").groupBy(*group).agg(F.min("doc_id").alias("rep")), "representatives")
-    own = sigs.where("n_shingles > 0").join(reps.select(F.col("rep").alias("doc_id"), *group), ["doc_id", *group]).dropDuplicates(["doc_id"])
-    entries = own.select("doc_id", F.explode("keys").alias("key"))
+    # copies of one set have one signature: any will do
+    own = sigs.where("n_shingles > 0").groupBy(*group).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    own = scratch.keep(own, "representatives")
+    # a document's id names its set, unless it has several or none: then a hash of the set does
+    odd = scratch.keep(own.groupBy("rep").count().where("count > 1 or rep is null").select(F.col("rep").alias("odd_rep")), "odd-ids")
+    plain = odd.isEmpty()
+    if plain:
+        own = own.withColumn("node", F.col("rep"))
+    else:
+        own = own.join(odd, F.col("rep").eqNullSafe(F.col("odd_rep")), "left").withColumn("node", F.when(F.col("rep").isNull() | F.col("odd_rep").isNotNull(), F.xxhash64(*group)).otherwise(F.col("rep"))).drop("odd_rep")
+        own = scratch.keep(own, "named")
+    entries = own.select(F.col("node").alias("doc_id"), F.explode("keys").alias("key"))
     full = entries.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("top"), F.count("*").alias("size")).where("center < top")
-    buckets = materialise(entries.join(full.drop("top"), "key"), "buckets")
+    buckets = scratch.keep(entries.join(full.drop("top"), "key"), "buckets")
     members = buckets.select("doc_id").distinct()
-    sets = materialise(source.join(members.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), _SETS), "sets")
-    small_sigs = materialise(own.join(members, "doc_id", "left_semi").select("doc_id", "sig"), "member-signatures")
+    small_sigs = scratch.keep(own.withColumn("doc_id", F.col("node")).join(members, "doc_id", "left_semi").select("doc_id", "rep", *group, "n_shingles", "sig"), "member-signatures")
+    if plain:
+        texts = source.join(members.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    else:
+        one = sigs.join(small_sigs.select(F.col("doc_id").alias("node"), *group), group).groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key"))
+        texts = source.join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    sets = scratch.keep(texts.mapInArrow(_full_sets(shingle_words), _SETS), "sets")
 
     def sided(pairs: DataFrame, what: DataFrame, value: str) -> DataFrame:
         left = what.select(F.col("doc_id").alias("u"), F.col(value).alias("x"))
@@ -225,15 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(sided(pairs, small_sigs, "sig").mapInArrow(_similar_sigs(least), "u long, v long"), "candidates")
-        return materialise(sided(pairs, sets, "shingles").mapInArrow(_similar_sets(threshold_percent), "u long, v long"), "confirmed")
+        pairs = scratch.keep(sided(pairs, small_sigs, "sig").mapInArrow(_similar_sigs(least), "u long, v long"), "candidates")
+        out = scratch.keep(sided(pairs, sets, "shingles").mapInArrow(_similar_sets(threshold_percent), "u long, v long"), "confirmed")
+        scratch.drop(pairs)
+        return out
 
     links = confirmed(buckets.where("doc_id != center").select(F.col("doc_id").alias("u"), F.col("center").alias("v")).distinct())
-    labels = materialise(components(links), "labels")
+    labels = components(links, scratch)
 
     seen = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "size", F.coalesce("root", "doc_id").alias("comp"))
     open_keys = seen.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    left_over = materialise(seen.join(open_keys, "key", "left_semi"), "open-buckets")
+    left_over = scratch.keep(seen.join(open_keys, "key", "left_semi"), "open-buckets")
     few = left_over.where(F.col("size") <= SMALL)
     a, b = few.alias("a"), few.alias("b")
     pairs = (
@@ -243,18 +269,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = [confirmed(pairs)]
     many = left_over.where(F.col("size") > SMALL)
     if not many.isEmpty():
-        full_rows = many.join(small_sigs, "doc_id").join(sets, "doc_id").withColumn("bytes", F.length("sig") + F.length("shingles"))
-        blocks = full_rows.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-        dealt = full_rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"), "block", "doc_id", "comp", "sig", "shingles")
-        extra.append(materialise(dealt.groupBy("key", "pa", "pb").applyInArrow(_blocks(least, threshold_percent, rows), "u long, v long"), "block-links"))
+        # blocks are dealt by ids and sizes alone; signatures and sets are fetched by document afterwards, so that no join by a hot key moves them
+        thin = many.join(small_sigs.select("doc_id", (F.col("n_shingles") * 8 + F.length("sig")).alias("bytes")), "doc_id")
+        blocks = thin.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+        dealt = thin.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"), "block", "doc_id", "comp")
+        dealt = dealt.join(small_sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id").select("key", "pa", "pb", "block", "doc_id", "comp", "sig", "shingles")
+        extra.append(scratch.keep(dealt.groupBy("key", "pa", "pb").applyInArrow(_blocks(least, threshold_percent, rows), "u long, v long"), "block-links"))
     more = extra[0] if len(extra) == 1 else extra[0].unionByName(extra[1])
     if not more.isEmpty():
-        labels = materialise(components(links.unionByName(more)), "labels")
-
-    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*group, F.coalesce("root", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", *group).join(named, group, "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    result = materialise(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id")), "components")
-    discard(sigs, reps, buckets, sets, small_sigs, links, labels, left_over, *extra)
+        labels = components(links.unionByName(more), scratch)
+
+    named = own.select("node", "rep", *group).join(labels.select("node", "root"), "node", "left").select("rep", *group, F.coalesce("root", "node").alias("node"))
+    if plain:
+        named = named.select(*group, "node", F.col("node").alias("component_id"))
+    else:
+        named = named.join(named.groupBy("node").agg(F.min("rep").alias("component_id")), "node").select(*group, "node", "component_id")
+    out = sigs.select("doc_id", "text_key", "n_shingles", *group).join(named, group, "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    result = materialise(out.select("doc_id", "text_key", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components")
+    scratch.clear()
     return result
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document; see the module's text and the options of ``verdicts``."""
+    return verdicts(docs, id_col, text_col, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row stays, of the smallest doc_id; rows without words all stay."""
+    found = verdicts(docs, id_col, text_col, **options)
+    worded = found.where("n_shingles > 0")
+    # rows that share the kept doc_id (repeats, or several texts under one id, or no ids): one of them stays
+    shared = materialise(worded.where("kept").groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("lead")).where("n > 1").select("node", "lead"), "shared-ids")
+    several = not shared.isEmpty()
+    lost = worded.where("not kept")
+    if several:
+        lost = lost.unionByName(worded.where("kept").join(shared.select("node"), "node", "left_semi"), allowMissingColumns=True)
+    lost = lost.select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key")).distinct()
+    text_key = F.xxhash64(F.col(text_col).cast("string"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_nd_id")) & (text_key == F.col("_nd_key"))
+    out = docs.join(lost.hint("merge"), same, "left_anti")
+    if several:
+        leads = shared.select(F.col("lead.doc_id").alias("_nd_id"), F.col("lead.text_key").alias("_nd_key")).distinct()
+        one = docs.join(leads.hint("merge"), same).dropDuplicates(["_nd_id", "_nd_key"])
+        out = out.unionByName(one.select(*docs.columns))
+    return out.select(*docs.columns)

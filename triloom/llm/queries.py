@@ -75,5 +75,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Payload digests, and the least page_id of each payload of 100 bytes or more.
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
+#: Shingle sets, all pairs that share a shingle, and the smallest id that a document reaches over links.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS items FROM w),
+f AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM f a JOIN f b ON a.item = b.item AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM s UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+SELECT s.doc_id, CAST(len(items) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON s.doc_id = c.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minhash_near_dedup": NEAR_SQL, "op9_warc_boundary_chain": WARC_SQL}

@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests, local mode) a local one is made and set."""
+    """The cluster's shared folder; only in local mode, where none is named, a local one is made and set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="triloom-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -37,12 +39,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialised tables that nothing reads any more."""
-    for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """The intermediate tables of one run: ``keep`` materialises one, ``drop`` deletes some, ``clear`` all."""
+
+    def __init__(self) -> None:
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(df.sparkSession, label)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if id(df) in self.paths:
+                remove(df.sparkSession, self.paths.pop(id(df))[1])
+
+    def clear(self) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

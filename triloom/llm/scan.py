@@ -4,11 +4,15 @@ A batch of texts is one byte buffer with offsets. A polynomial prefix sum over t
 with an odd base, which has an inverse) gives the hash of any byte range in constant time, so all words of a
 batch are hashed by a few NumPy passes. Scratch memory is about 40 bytes a byte of input; ``slices`` bounds it by
 cutting batches at ``SLICE_BYTES``. A single text longer than that forms a slice of its own.
+
+Words made for it can collide under a polynomial; where equality decides a result, ``word_digests`` mixes words
+block by block instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +104,28 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+_SHORT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+LONG_WORD = 512
+
+
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of words: their length, then each 8 bytes, mixed into a state; of words over ``LONG_WORD`` bytes BLAKE2."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, state, left, which = starts, out, size, np.arange(len(starts))
+    while len(which):
+        block = eights[at] & _SHORT[np.minimum(left, 8)]
+        state = mix((state ^ block) * np.uint64(0x9E6C63D0676A9A99) + np.uint64(0x243F6A8885A308D3))
+        done = (left <= 8) | (size[which] > LONG_WORD)
+        out[which[done]] = state[done]
+        at, state, left, which = at[~done] + 8, state[~done], left[~done] - 8, which[~done]
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = int.from_bytes(blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def text_hash(word: str) -> int:
     """The hash that ``range_hash`` gives to these bytes."""
     raw = np.frombuffer(word.encode(), np.uint8)
