@@ -32,10 +32,12 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; documents without words stay."""
-    found = minhash.near_duplicates(docs)
-    lost = found.where("not kept").select("doc_id").distinct().hint("merge")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, one with the smallest doc_id; rows without words stay.
+
+    Repeated rows, different texts under one doc_id and rows without doc_id are documents of their own: of those that are
+    near copies of each other one row stays.
+    """
+    return minhash.deduplicated(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
