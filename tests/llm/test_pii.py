@@ -1,7 +1,9 @@
 """Base spans against a plain reading of the patterns with Python's re, on hostile texts."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,55 @@ def test_redaction_and_empty_table(spark):
 def test_digest_of_no_spans(spark):
     got = spark.range(1).select(F.sha2(pii.span_list(F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")).cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(b"").hexdigest()
+
+
+LETTER = "Dear team, my name is Anna Keller, born 12.03.1984, I live at 221 Baker Street and my ssn is 123-45-6789. My IBAN is DE89 3704 0044 0532 0130 00 and call 415-555-2671. Also the api key " + "abcdefghij" * 7 + "1b2c3d4e5f" * 3 + " mail a@b.com."
+CLEAN = "A plain text. The Old Town holds many Big Houses, sold on 12.03.1984 for 3.0 or 1999-2004; see Main Hall 12 and DE12 or page 100-22-1."
+
+
+def test_every_kind_is_found_and_clean_texts_are_left_alone(spark):
+    df = spark.createDataFrame([(i, LETTER) for i in range(3)] + [(100 + i, CLEAN) for i in range(30)], "doc_id long, text string")
+    out = pii.with_spans(df, keep_text=True).select("doc_id", F.col("pii_spans.kind").alias("kinds"), pii.redacted(F.col("_pii_text"), F.col("pii_spans")).alias("clean")).collect()
+    want = "Dear team, my name is <name>, born <birth_date>, I live at <address> and my ssn is <national_id>. My IBAN is <iban> and call <local_phone>. Also the api key <secret> mail <email>."
+    assert {r["clean"] for r in out if r["doc_id"] < 100} == {want} and {r["clean"] for r in out if r["doc_id"] >= 100} == {CLEAN}
+    assert set(next(r["kinds"] for r in out if r["doc_id"] == 0)) == {*pii.ADDED, "email"}
+
+
+def test_votes_separate_good_from_bad_candidates(spark):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00"), (2, "code DE88 3704 0044 0532 0130 00"), (3, "ssn 666-45-6789 or 123-45-6789"), (4, "The release of 12.03.1984 here"), (5, "born 12.03.1984 here")]
+    got = {r[0]: r[1] for r in pii.with_spans(spark.createDataFrame(rows * 5, "doc_id long, text string")).select("doc_id", pii.span_list("pii_spans")).collect()}
+    assert got == {1: "iban:5:32", 2: "", 3: "national_id:19:30", 4: "", 5: "birth_date:5:15"}
+
+
+def test_planted_spans_are_recalled(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("aeiourstln", k=rng.randrange(2, 9)))
+    plant = {
+        "secret": lambda: "token = \"" + "".join(rng.choices("0123456789abcdef", k=40)) + "\"", "name": lambda: f"Mr. {rng.choice(pii.GIVEN_NAMES.split())} {word().capitalize()}",
+        "national_id": lambda: f"ssn {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", "address": lambda: f"address {rng.randrange(1, 999)} {word().capitalize()} Road",
+        "email": lambda: f"{word()}@{word()}.com", "local_phone": lambda: f"call 4{rng.randrange(10, 99)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}",
+    }
+    rows, want = [], {}
+    for i in range(400):
+        kind = rng.choice([*plant, None, None])
+        body = [word() for _ in range(40)] + ([plant[kind]()] if kind else []) + [word() for _ in range(10)]
+        rows.append((i, " ".join(body)))
+        want[i] = kind
+    got = {r[0]: set(r[1]) for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "pii_spans.kind").collect()}
+    for kind in plant:
+        assert sum(kind in got[i] for i, k in want.items() if k == kind) >= 0.95 * sum(k == kind for k in want.values()), kind
+    assert not any(got[i] for i, k in want.items() if k is None)
+
+
+def test_a_text_of_many_spans_takes_time_in_proportion(spark):
+    text = " ".join(f"u{i}@mail{i % 9}.com and k{i:05d}ab{i:05d}x" for i in range(20_000))
+    began = time.time()
+    row = pii.with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_text=True).select(F.size("pii_base").alias("n"), pii.redacted(F.col("_pii_text"), F.col("pii_spans")).alias("clean")).first()
+    assert row["n"] == 20_000 and row["clean"].count("<email>") == 20_000 and "@" not in row["clean"]
+    assert time.time() - began < 120
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a@b.c x", "k", 1, "m")] * 3 + [(None, None, "k", 2, "m")], "doc_id long, text string, kind string, start int, value string")
+    out = pii.with_spans(df).select("doc_id", "kind", pii.span_list("pii_spans").alias("s")).collect()
+    assert sorted((r["doc_id"] or 0, r["kind"], r["s"]) for r in out) == [(0, "k", "")] + [(1, "k", "email:0:5")] * 3
