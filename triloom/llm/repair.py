@@ -1,10 +1,11 @@
 """Token ids in grammar-compressed shards: Re-Pair with rules and expansion lengths for random access.
 
 ``write`` sorts documents by id over all tasks, encodes them, and cuts the token sequence into shards of about
-``SHARD_TOKENS`` ids, whole documents each. A shard is compressed by repeated pair replacement: in each round the pairs
-that occur ``LEAST_PAIRS`` times or more are counted, overlapping occurrences go to the more frequent pair, and each
-chosen pair becomes a nonterminal. No pair spans two documents, so a document is a run of symbols and can be
-decoded alone.
+``SHARD_TOKENS`` ids, whole documents each. A shard is compressed by repeated pair replacement: of the pairs within a
+power of two of the most frequent each occurrence that no more frequent pair overlaps becomes a nonterminal, and so on
+until no pair occurs ``LEAST_PAIRS`` times, which is where a replacement stops paying for its rule (two symbols and a
+length, 8 bytes against 2 a replacement), or until 16-bit symbols are used up: one more rule would double every symbol.
+No pair spans two documents, so a document is a run of symbols and can be decoded alone.
 
 File format: a Parquet table with a row for each shard. ``rules`` holds two symbols for each nonterminal, the first of which is
 ``base``; a rule uses only ids and earlier nonterminals. ``lengths`` holds how many ids each nonterminal expands to. ``symbols``
@@ -12,8 +13,9 @@ is the compressed sequence. For document k of the shard, ``doc_ids[k]`` is its i
 last symbol. Symbols and rules are little-endian unsigned 16-bit where ``width`` is 2, else 32-bit; lengths and
 ends are unsigned 32-bit, ids signed 64-bit. ``part`` and ``seq`` order the shards.
 
-Encoding goes through a table of distinct chunks between ASCII white space, of which the tokenizer drops all; each worker
-empties it at ``MOST`` chunks. Chunks of plain letters with a final stop or comma are given to the tokenizer's model
+Encoding goes through a table of distinct chunks between ASCII white space, where the tokenizer's file says that it drops
+white space and folds case (``NORMALIZER``, ``SPLITTER``); any other tokenizer encodes whole texts. Each worker empties the table
+at ``MOST`` chunks. Chunks of plain letters with a final stop or comma are given to the tokenizer's model
 directly; others, and texts with a special token's opening, to the whole tokenizer.
 
 Defined results: a null text is empty and has the end id only; repeated rows follow each other, ordered by a hash of the
@@ -22,8 +24,10 @@ text; a null id sorts first. An empty table has no shard. Only the named columns
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -38,14 +42,23 @@ from .runtime import new_path
 
 END_ID = 1
 SHARD_TOKENS = 1_500_000
-ROUNDS = 6
-LEAST_PAIRS = 48
+LEAST_PAIRS = 5
 MOST = 500_000
 SLICE_BYTES = 6_000_000
 
 _SHARD = "part int, seq int, tokens long, base int, width int, rules binary, lengths binary, symbols binary, doc_ids binary, ends binary, null_ids binary"
 _WORD = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
 
+# The steps of a tokenizer file under which chunks between white space can be encoded alone, in lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from 256 on."""
@@ -68,7 +81,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.letters, self.model = _byte_letters(), self.tokenizer.model
-        self.simple = self._simple()
+        spec = json.loads(self.tokenizer.to_str())
+        self.chunked = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.simple = self.chunked and self._simple()
         self.end = {m: self._library([m])[0] for m in ".,"} | {"": []}
         self._clear()
 
@@ -127,6 +142,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end id after each, and the bounds by text."""
         texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.chunked:
+            parts = [np.array([*ids, END_ID], np.uint32) for ids in self._library(texts.to_pylist())]
+            return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         raw, at = scan.buffers(texts)
         special = np.flatnonzero(np.asarray(pc.match_substring(texts, "<|").fill_null(False)))
         lower = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(scan.LOWER[raw])])
@@ -152,70 +170,103 @@ class Encoder:
         return ids, bounds
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, the documents' ends in them, rules (n, 2) and expansion lengths of the nonterminals base, base + 1, ..."""
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and which of them each is."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    fresh = np.ones(len(ranked), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(ranked), np.int32)
+    which[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ranked[fresh], which
+
+
+def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, the documents' ends in them, rules (n, 2) and expansion lengths of the nonterminals base, base + 1, ...
+
+    Places of pairs wait in levels by the power of two below their pair's count, counted with some others by a hash, so never
+    too low. A round takes the highest level: pairs whose true count is that high are replaced, the others wait lower. A pair's
+    count can only grow by new symbols, so after a round only the places around them are counted anew. Replaced places are
+    skipped by links to the next and the last symbol. It ends when no pair occurs ``least`` times, or no id is left.
+    """
+    n = len(ids)
     seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
+    last = np.zeros(n, bool)
     last[bounds[1:] - 1] = True
-    rules, lengths = [], []
+    after, before, alive = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32), np.ones(n, bool)
+    level, waiting = np.zeros(n, np.int8), defaultdict(list)
+    rules, lengths = [], np.zeros(0, np.int64)
     room = (1 << 16) - base if base < 1 << 16 else 1 << 20
-    slots = 20
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
-        key = (seq[:-1] << 32) | seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots)).astype(np.int64)
-        often = np.bincount(slot, minlength=1 << slots) >= least
-        at = np.flatnonzero(often[slot] & ~last[:-1])
-        if not len(at):
-            break
-        pairs, count = np.unique(key[at], return_counts=True)
-        pairs, count = pairs[count >= least], count[count >= least]
-        # of frequent pairs that share a slot one has its turn in this round
-        holder = np.full(1 << slots, -1)
-        own = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots)).astype(np.int64)
-        holder[own] = np.arange(len(pairs))
-        which = holder[slot[at]]
-        met = which >= 0
-        met[met] = pairs[which[met]] == key[at[met]]
-        at, which = at[met], which[met]
-        weight = count[which] if len(which) else which
+
+    def wait(at: np.ndarray) -> None:
+        key = (seq[at] << 32) | seq[after[at]]
+        slots = min(20, max(10, int(len(at)).bit_length()))
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots)).astype(np.int32)
+        held = np.bincount(slot, minlength=1 << slots)
+        file(at, np.where(held >= least, np.frexp(held)[1], 0).astype(np.int8)[slot])
+
+    def file(at: np.ndarray, to: np.ndarray) -> None:
+        level[at] = to
+        for k in np.flatnonzero(np.bincount(to, minlength=1)[1:]) + 1:
+            waiting[k].append(at[to == k])
+
+    wait(np.flatnonzero(~last).astype(np.int32))
+    while waiting and room > 0:
+        top = max(waiting)
+        at = np.sort(np.concatenate(waiting.pop(top)))
+        at = at[alive[at] & (level[at] == top) & ~last[at]]
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         if not len(at):
-            break
+            continue
+        pairs, which = _grouped((seq[at] << 32) | seq[after[at]])
         # in a run of one symbol every other occurrence counts
-        chain = np.ones(len(at), bool)
-        chain[1:] = (np.diff(at) != 1) | (which[1:] != which[:-1])
-        even = (at - at[np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))]) % 2 == 0
-        at, which, weight = at[even], which[even], weight[even]
-        # of occurrences that share a symbol the more frequent pair's stays, of equal ones the earlier
-        rank = weight * (1 << 32) - at
-        near = np.diff(at) == 1
-        lose = np.zeros(len(at), bool)
-        lose[:-1] |= near & (rank[1:] > rank[:-1])
-        lose[1:] |= near & (rank[:-1] > rank[1:])
-        at, which = at[~lose], which[~lose]
-        count = np.bincount(which, minlength=len(pairs))
-        worth = np.flatnonzero(count >= max(8, least // 4))
-        worth = worth[np.argsort(-count[worth], kind="stable")][:room]
+        odd = np.zeros(len(at), bool)
+        follows = np.flatnonzero((after[at[:-1]] == at[1:]) & (which[1:] == which[:-1])) + 1
+        if len(follows):
+            index = np.arange(len(at))
+            head = index.copy()
+            head[follows] = 0
+            odd = (index - np.maximum.accumulate(head)) % 2 == 1
+        count = np.bincount(which[~odd], minlength=len(pairs))
+        cutoff = max(least, 1 << (top - 1))
+        high = count >= cutoff
+        if not high.all():
+            later = ~high[which]
+            file(at[later], np.where(count >= least, np.minimum(np.frexp(count)[1], top - 1), 0).astype(np.int8)[which[later]])
+            at, which, odd = at[~later], which[~later], odd[~later]
+            if not len(at):
+                continue
+        # of occurrences that share a symbol the more frequent pair's stays: the most frequent pair of all keeps all its own
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.lexsort((pairs, count))] = np.arange(len(pairs))
+        mine = np.where(odd, -1, rank[which])
+        near = after[at[:-1]] == at[1:]
+        lose = odd.copy()
+        lose[:-1] |= near & (mine[1:] > mine[:-1])
+        lose[1:] |= near & (mine[:-1] > mine[1:])
+        won = np.bincount(which[~lose], minlength=len(pairs))
+        worth = np.flatnonzero(won >= max(least, cutoff // 2))
+        worth = worth[np.argsort(-won[worth], kind="stable")][:room]
         number = np.full(len(pairs), -1)
-        number[worth] = base + len(rules) + np.arange(len(worth))
-        keep = number[which] >= 0
-        at, which = at[keep], which[keep]
-        if not len(at):
-            break
-        fresh = pairs[worth]
+        number[worth] = base + len(lengths) + np.arange(len(worth))
+        taken = ~lose & (number[which] >= 0)
+        place = at[taken]
+        left, right = pairs[worth] >> 32, pairs[worth] & 0xFFFFFFFF
+        known = np.concatenate([lengths, [1]])
+        grown = sum(known[np.where(x >= base, x - base, len(lengths))] for x in (left, right))
+        rules.append(np.stack([left, right], axis=1))
+        lengths = np.concatenate([lengths, grown])
         room -= len(worth)
-        known = np.array(lengths, np.int64)
-        left, right = fresh >> 32, fresh & 0xFFFFFFFF
-        grown = sum(np.where(s >= base, known[np.maximum(s - base, 0)] if len(known) else 1, 1) for s in (left, right))
-        rules.extend(zip(left.tolist(), right.tolist(), strict=True))
-        lengths.extend(grown.tolist())
-        seq[at] = number[which]
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-    return seq, np.flatnonzero(last) + 1, np.array(rules, np.int64).reshape(-1, 2), np.array(lengths, np.int64)
+        gone = after[place]
+        seq[place], last[place], alive[gone] = number[which[taken]], last[gone], False
+        after[place] = after[gone]
+        inner = after[place] < n
+        before[after[place][inner]] = place[inner]
+        back = before[place]
+        touched = np.sort(np.concatenate([at[~taken], place, back[back >= 0]]))
+        touched = touched[np.concatenate([[True], touched[1:] != touched[:-1]])]
+        wait(touched[alive[touched] & ~last[touched]])
+    return seq[alive], np.flatnonzero(last[alive]) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,8 +406,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     shards = spark.read.schema(_SHARD).parquet(path)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document
-    starts = shards.select("part", "seq", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base_start"))
+    # shards before a shard: those of its part, and the sums of earlier parts, of which there are as many as writing tasks
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(over), F.lit(0)).alias("part_start"))
+    starts = shards.select("part", "seq", F.coalesce(F.sum("tokens").over(inside), F.lit(0)).alias("inner_start")).join(parts, "part")
+    starts = starts.select("part", "seq", (F.col("part_start") + F.col("inner_start")).alias("base_start"))
     found = shards.mapInArrow(run, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("base_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
