@@ -1,5 +1,6 @@
 """Operators of the corpus subpackage against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import os
 import random
 import re
 import zlib
@@ -290,6 +291,49 @@ def test_multi_index_recall_where_the_first_rows_are_one_cluster(spark):
     assert np.mean(recall[12:]) >= 0.9  # the queries outside the cluster
 
 
+def brute_nearest(x, ids, k):
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    return {int(ids[q]): [int(ids[j]) for j in np.lexsort((ids, -s[q]))[:k]] for q in np.flatnonzero(ids % 20 == 0)}
+
+
+def test_one_component_and_double_vectors(spark):
+    rows = [(i, [float(i % 7 - 3)]) for i in range(40)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    live = [(i, v[0]) for i, v in rows if v[0]]
+    want = brute_nearest(np.array([[v] for _, v in live]), np.array([i for i, _ in live]), 5)
+    assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == want
+    base = 1.0 + np.arange(30) * 1e-12  # as floats all the same
+    df = spark.createDataFrame([(i, [float(b), 1.0]) for i, b in enumerate(base)], "vec_id long, embedding array<double>")
+    best = ann.search(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in best] == [29, 28, 27] and best[0]["score"] == base[0] * base[29] + 1.0
+
+
+def test_blocks_go_to_visiting_groups_only(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 1)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 8)) * 5
+    x = (centers[rng.integers(0, 12, 6000)] + rng.normal(size=(6000, 8)) * 0.2).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want, got = brute_nearest(x.astype(float), np.arange(6000), 10), {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & set(v)) / 10 for q, v in want.items()]) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_recall_on_the_given_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [r for r in df.select("vec_id", "embedding").collect() if r["embedding"] and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    want, got = brute_nearest(np.array([r["embedding"] for r in rows]), np.array([r["vec_id"] for r in rows]), 20), {}
+    for r in queries.op5_inverted_multi_index(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and np.mean([len(got[q] & set(v)) / len(v) for q, v in want.items()]) >= 0.9
+
+
 def test_pieces_equal_the_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
