@@ -181,6 +181,28 @@ def test_language_filters(spark):
     assert langid.identify(docs, none).select("lang_pred").distinct().collect()[0][0] == langid.UNKNOWN
 
 
+def test_more_than_64_languages_repeats_and_clashing_names(spark):
+    rng = random.Random(11)
+    langs = [f"l{k:03d}" for k in range(70)]
+    stems = {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for lang in langs}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=20)), lang, "x") for i, lang in enumerate(langs * 8)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, score string")
+    filters = langid.fit(df)
+    assert filters.cells.shape[1] == 2
+    got = [(r["lang"], r["lang_pred"]) for r in langid.identify(df, filters, keep=["doc_id", "lang"]).collect()]
+    assert len(got) == len(rows) + 3 and np.mean([a == b for a, b in got]) > 0.99
+    assert langid.fit(df, most_languages=3).languages == ["l000", "l001", "l002"]
+    # brute force: a text's score in its language is the share of its n-grams that enough of the language's documents hold
+    by = {lang: Counter(g for _, t, la, _ in rows if la == lang for g in {t[k : k + 4] for k in range(len(t) - 3)}) for lang in langs[:5]}
+    rate = lambda lang, g: by[lang][g] / 8
+    few = langid.fit(df.where(F.col("lang").isin(langs[:5])).dropDuplicates(["doc_id"]))
+    for _, t, lang, _ in rows[:5]:
+        grams = [t[k : k + 4] for k in range(len(t) - 3)]
+        want = np.mean([rate(lang, g) >= max(0.004, 0.2 * max(rate(x, g) for x in langs[:5])) for g in grams])
+        assert few.scores(pa.array([t]))[0][few.languages.index(lang)] == pytest.approx(want, abs=1e-3)
+    assert langid.identify(df.limit(0), filters).count() == 0
+
+
 def test_lettered_grams_equal_a_plain_reading():
     texts = ["Re.", "é–ñ ab", "a1 bcde f", None, "日本 x", "", "12 345 -- ...", "🎉🎉 abc"]
     has, plain = langid.lettered_grams(pa.array(texts), 4)

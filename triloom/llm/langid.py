@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 Training finds, for each language, the byte n-grams that many of its documents hold. ``LanguageFilters`` stores
-all languages in one bit-sliced Bloom filter: cell i is a bit mask with a bit for each language, an n-gram addresses
+all languages in one bit-sliced Bloom filter: cell i is a bit mask with a bit for each language (of as many words as they need), an n-gram addresses
 ``PROBES`` cells, and the AND of their masks is the set of languages that hold the n-gram. A text's score for a
 language is the population count of that language's bit over all its n-grams, corrected for the filter's false
 positives: (hits - n * p) / (n - n * p), where p is the chance that an absent n-gram seems present.
@@ -93,19 +93,25 @@ def lettered_grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 class LanguageFilters:
     languages: list[str]
     n: int
-    cells: np.ndarray  # one mask for each cell, a bit for each language
+    cells: np.ndarray  # one row of mask words for each cell, a bit for each language
     chance: np.ndarray  # false-positive rate of each language
     fallback: str
 
     @staticmethod
-    def build(languages: list[str], n: int, keys: np.ndarray, masks: np.ndarray, fallback: str) -> LanguageFilters:
+    def build(languages: list[str], n: int, keys: np.ndarray, known: list[np.ndarray], fallback: str) -> LanguageFilters:
+        """``known`` lists the languages of each key by number."""
         size = 1 << max(10, int(max(1, len(keys)) * 12 - 1).bit_length())
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
-        out = LanguageFilters(languages, n, np.zeros(size, kind), np.zeros(len(languages)), fallback)
+        kind = np.dtype(np.uint8 if len(languages) <= 8 else np.uint64)
+        wide = max(1, -(-len(languages) // (8 * kind.itemsize)))
+        masks = np.zeros((len(keys), wide), kind)
+        which, lang = np.repeat(np.arange(len(keys)), [len(k) for k in known]), np.concatenate([*known, np.zeros(0, np.int64)]).astype(np.int64)
+        word, bit = np.divmod(lang, 8 * kind.itemsize)
+        np.bitwise_or.at(masks, (which, word), np.left_shift(kind.type(1), bit.astype(kind)))
+        out = LanguageFilters(languages, n, np.zeros((size, wide), kind), np.zeros(len(languages)), fallback)
         for cell in out._cells(keys):
-            np.bitwise_or.at(out.cells, cell, masks.astype(kind))
+            np.bitwise_or.at(out.cells, cell, masks)
         for k in range(len(languages)):
-            out.chance[k] = ((out.cells >> kind(k)) & kind(1)).mean() ** PROBES
+            out.chance[k] = out._bit(out.cells, k).mean() ** PROBES
         return out
 
     def _cells(self, keys: np.ndarray):
@@ -114,13 +120,20 @@ class LanguageFilters:
         for k in range(PROBES):
             yield ((lo + np.uint64(k) * step) & np.uint64(len(self.cells) - 1)).astype(np.int64)
 
+    def _bit(self, mask: np.ndarray, language: int) -> np.ndarray:
+        """Whether each mask has the language's bit, as 0 or 1."""
+        kind = mask.dtype.type
+        word, bit = divmod(language, 8 * mask.dtype.itemsize)
+        return (mask[:, word] >> kind(bit)) & kind(1)
+
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """The mask of languages of each n-gram."""
+        cells = self.cells if self.cells.shape[1] > 1 else self.cells[:, 0]
         first, *rest = self._cells(keys)
-        mask = self.cells[first]
+        mask = cells[first]
         for cell in rest:
-            mask &= self.cells[cell]
-        return mask
+            mask &= cells[cell]
+        return mask.reshape(len(keys), -1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         keys, bounds = grams(texts, self.n)
@@ -130,7 +143,7 @@ class LanguageFilters:
         n = np.diff(bounds)[:, None]
         hits = np.zeros((len(bounds) - 1, len(self.languages)))
         for k in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
+            total = np.concatenate([[0], np.cumsum(self._bit(mask, k), dtype=np.int64)])
             hits[:, k] = total[bounds[1:]] - total[bounds[:-1]]
         return np.clip((hits - n * self.chance) / np.maximum(n * (1 - self.chance), 1e-9), 0, 1)
 
@@ -168,47 +181,39 @@ def _counted(n: int):
         for batch in batches:
             for lo, hi in scan.slices(batch.column(1), 2_000_000):
                 keys, bounds = grams(batch.column(1).slice(lo, hi - lo), n)
-                by: dict[str, list[np.ndarray]] = {}
+                by: dict[int, list[np.ndarray]] = {}
                 for k, lang in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
                     by.setdefault(lang, []).append(np.unique(keys[bounds[k] : bounds[k + 1]]))
                 for lang, found in by.items():
                     key, count = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(count, pa.int64())], names=["lang", "gram", "docs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang, np.int32)), pa.array(key.view(np.int64)), pa.array(count, pa.int64())], names=["number", "gram", "docs"])
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, sample_per_language: int = 4000, least_rate: float = 0.004, share: float = 0.2) -> LanguageFilters:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, sample_per_language: int = 4000, least_rate: float = 0.004, share: float = 0.2, most_languages: int = 1024) -> LanguageFilters:
     """Learn the filters from labelled rows.
 
-    At most about ``sample_per_language`` documents of each language are read, chosen by a hash of the id (the bound of the
-    fitting sample). An n-gram enters a language's filter if at least ``least_rate`` of the language's documents hold it
-    and that rate is at least ``share`` of its highest rate in any language. The number of languages is at most 64.
+    At most about ``sample_per_language`` documents of each language are read, chosen by a hash of the id, and of more than
+    ``most_languages`` labels only the commonest (the bounds of the fitting sample). An n-gram enters a language's filter if at
+    least ``least_rate`` of the language's documents hold it and that rate is at least ``share`` of its highest rate in any language.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if len(totals) > 64:
-        raise ValueError("more than 64 languages")
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()}
     languages = sorted(totals)
     if not languages:
-        return LanguageFilters([], n, np.zeros(1024, np.uint8), np.zeros(0), UNKNOWN)
+        return LanguageFilters([], n, np.zeros((1024, 1), np.uint8), np.zeros(0), UNKNOWN)
     scale = 1 << 20
-    limit = F.lit(0)
-    for lang in languages:
-        limit = F.when(F.col("lang") == lang, int(scale * min(1.0, sample_per_language / totals[lang]))).otherwise(limit)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < limit)
-    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
-    counts = sample.select("lang", "text").mapInArrow(_counted(n), "lang string, gram long, docs long")
-    rate = [F.sum(F.when(F.col("lang") == lang, F.col("docs") / sizes.get(lang, 1))).alias(f"r{k}") for k, lang in enumerate(languages)]
-    wide = counts.groupBy("gram").agg(*rate).na.fill(0.0)
-    top = F.greatest(*[F.col(f"r{k}") for k in range(len(languages))]) if len(languages) > 1 else F.col("r0")
-    bits = [F.when((F.col(f"r{k}") >= least_rate) & (F.col(f"r{k}") >= share * top), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")) for k in range(len(languages))]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    kept = wide.select("gram", mask.alias("mask")).where("mask != 0").toArrow()
+    known = spark.createDataFrame([(lang, k, int(scale * min(1.0, sample_per_language / totals[lang]))) for k, lang in enumerate(languages)], "lang string, number int, most long")
+    sample = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64("id"), F.lit(scale)) < F.col("most"))
+    sizes = spark.createDataFrame([(r["number"], r["count"]) for r in sample.groupBy("number").count().collect()], "number int, size long")
+    counts = sample.select("number", "text").mapInArrow(_counted(n), "number int, gram long, docs long").groupBy("gram", "number").agg(F.sum("docs").alias("docs"))
+    rates = counts.join(F.broadcast(sizes), "number").withColumn("rate", F.col("docs") / F.col("size")).where(F.col("rate") >= least_rate)
+    held = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("number", "rate")).alias("held"))
+    kept = held.select("gram", F.transform(F.filter("held", lambda h: h["rate"] >= share * F.col("top")), lambda h: h["number"]).alias("known")).toArrow()
     fallback = max(languages, key=lambda x: (totals[x], x))
-    return LanguageFilters.build(languages, n, kept["gram"].to_numpy().view(np.uint64), kept["mask"].to_numpy().view(np.uint64), fallback)
+    return LanguageFilters.build(languages, n, kept["gram"].to_numpy().view(np.uint64), [np.array(k) for k in kept["known"].to_pylist()], fallback)
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", keep: list[str] | None = None, lettered: bool = False) -> DataFrame:
