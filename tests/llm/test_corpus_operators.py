@@ -313,6 +313,30 @@ def test_multi_index_recall_where_the_first_rows_are_one_cluster(spark):
     assert np.mean(recall[12:]) >= 0.9  # the queries outside the cluster
 
 
+def test_shards_equal_a_plain_ranking(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(sharding, "SPAN", 4)
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 3), rng.choice(["a"] * 6 + ["b", None])) for i in range(700)] + [(9, "again", "a")] * 300 + [(None, None, None)] * 3
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, slot int, _w string")
+    keyed = [(r["doc_id"], r["source"], r["size"], r["crc"], r["h"]) for r in df.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")).withColumn("h", F.xxhash64(F.lit(17), "doc_id", "crc")).collect()]
+    nulls = lambda k: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in k)
+    unsigned = lambda h: (h % (1 << 64)) >> 1
+    placed = []
+    for source in {k[1] for k in keyed}:
+        own = sorted((k for k in keyed if k[1] == source), key=lambda k: (unsigned(k[4]) * max(1, len(keyed) // 16) >> 63, k[4], nulls((k[0], k[2]))))
+        placed += [((n + 0.5) / len(own), k) for n, k in enumerate(own)]
+    placed.sort(key=lambda p: (p[0], nulls((p[1][1],)), p[1][4], nulls((p[1][0], p[1][2]))))
+    want = Counter()
+    for at, (_, k) in enumerate(placed):
+        shard = at * 8 // len(placed)
+        want[(*k[:4], shard, at - (shard * len(placed) + 7) // 8)] += 1
+    assert Counter(tuple(r) for r in sharding.shards(df).select("doc_id", "source", "size", "text_crc32", "shard", "slot").collect()) == want
+    sharding.write(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in back) == Counter(rows) and len({(r["shard"], r["slot"]) for r in back}) == len(rows)
+
+
 def brute_nearest(x, ids, k):
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
