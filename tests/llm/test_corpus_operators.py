@@ -251,6 +251,22 @@ def test_toxicity_on_held_out_and_counterfactuals(spark):
     assert toxicity.score(docs.limit(5), empty, ["doc_id"]).count() == 5
 
 
+def test_toxicity_swaps_all_pairs_and_keeps_odd_rows(spark):
+    place = np.arange(1 << toxicity.BITS)
+    _, changes, strength = toxicity.swap_penalty(place, np.zeros(1 << toxicity.BITS))
+    assert len(changes) == len(strength) == sum(len(g) * (len(g) - 1) // 2 + len(g) for g in toxicity.IDENTITY_GROUPS)
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 30) + (" vile" if i % 2 else "") + (" polish" if i % 4 == 1 else "")) for i in range(400)]
+    long = " ".join(f"z{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(*r, "a", 1) for r in [*rows, rows[0], (0, long), (None, "vile")]], "doc_id long, text string, toxic string, features int")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model, ["doc_id", "toxic"]).collect()
+    assert len(out) == 403 and np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in out if r["doc_id"]]) == 1
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.allclose(model.weights, again.weights, atol=1e-9) and abs(model.bias - again.bias) < 1e-9
+
+
 def test_shards_match_the_mixture(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([None, "", "é" * rng.randrange(9), "same"]), rng.choice(["big"] * 5 + ["a", "b", None])) for i in range(1003)] + [(5000, "same", "big")] * 3

@@ -3,12 +3,13 @@
 A text is the set of its words and of their prefixes (lower-cased, without punctuation at the ends, hashed into
 2**20 features), so inflected forms share evidence. A logistic regression with an L1 penalty is fitted by
 accelerated proximal gradients. Counterfactual regularisation swaps identity terms in the labelled sentences for
-others of their group and penalises the squared change of the score; as the model is linear, a swap changes only the terms'
-own features, so the penalty is a sum over pairs of terms, weighted by how many labelled texts hold them. A term
+all others of their group and penalises the squared change of the score; as the model is linear, a swap changes only the terms'
+own features, so the penalty is a sum over all pairs of terms of a group, weighted by how many labelled texts hold them. A term
 that is put into a text that lacks it must not change the score either. Mentioning a group is thus no evidence.
 
-The fit reads at most about ``per_class`` labelled texts of each class (chosen by a hash of the id) and keeps at most
-``MOST_FEATURES`` features with significant log odds. Every text is scored whole.
+The fit reads at most about ``per_class`` labelled texts of each class (chosen by a hash of the id). Features are counted by
+tasks; the driver gets at most 2**20 counts, keeps at most ``MOST_FEATURES`` features with significant log odds, and gets the
+texts' sets of these alone, so what it holds is bounded whatever the texts' lengths. Every text is scored whole.
 
 Defined results: null, empty and wordless texts get the score of the bias. Labels with a null class are not used; a
 document with several labels counts with each. With no labels of one class the score is that share, smoothed. Empty
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .decontaminate import _EDGE
-from .runtime import materialise
+from .runtime import Scratch
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -95,50 +96,71 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
 
 
-def train(y: np.ndarray, sets: list[np.ndarray], l1: float = 3e-4, counterfactual: float = 0.05, rounds: int = 250) -> Model:
-    """Fit on the texts' feature sets; ``counterfactual`` weighs the penalty on identity swaps."""
-    weights = np.zeros(1 << BITS)
-    if not len(y) or y.min() == y.max():
-        return Model(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), weights)
-    flat = np.concatenate(sets)
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    n1 = np.bincount(flat[y[owner] == 1], minlength=1 << BITS).astype(np.float64)
-    n0 = np.bincount(flat[y[owner] == 0], minlength=1 << BITS).astype(np.float64)
-    odds = np.log((n1 + 0.5) / (y.sum() - n1 + 0.5)) - np.log((n0 + 0.5) / (len(y) - y.sum() - n0 + 0.5))
+def _tallied(batches):
+    """For each batch: how many texts of each class hold each feature."""
+    for batch in batches:
+        toxic, sets = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for label in (0, 1):
+            own = [np.frombuffer(x, np.int32) for x, t in zip(sets, toxic, strict=True) if t == label]
+            feature, count = np.unique(np.concatenate([*own, np.zeros(0, np.int32)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(np.where(label == 0, count, 0), pa.int64()), pa.array(np.where(label == 1, count, 0), pa.int64())], names=["feature", "n0", "n1"])
+
+
+def identity_features() -> list[list[np.ndarray]]:
+    return [[term_features(t) for t in g] for g in IDENTITY_GROUPS]
+
+
+def significant(n0: np.ndarray, n1: np.ndarray, total0: int, total1: int) -> np.ndarray:
+    """The features to learn from: those with significant log odds, and all of the identity terms."""
+    odds = np.log((n1 + 0.5) / (total1 - n1 + 0.5)) - np.log((n0 + 0.5) / (total0 - n0 + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
     z[n1 + n0 < 3] = 0
-    groups = [[term_features(t) for t in g] for g in IDENTITY_GROUPS]
     kept = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    kept = np.unique(np.concatenate([kept[z[kept] > 2.5], *[f for g in groups for f in g]]))
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    use = place[flat] >= 0
-    col, row = place[flat[use]], owner[use]
+    return np.unique(np.concatenate([kept[z[kept] > 2.5], *[f for g in identity_features() for f in g]]))
+
+
+def swap_penalty(place: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, changes and strengths: each row is the change of the features by a swap of two terms of a group, or by one term put in."""
+    groups = identity_features()
+    columns = np.unique(np.concatenate([place[f] for g in groups for f in g]))
+    changes, strength = [], []
+
+    def term(f: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(columns))
+        out[np.searchsorted(columns, place[f])] = 1
+        return out
 
-    swaps, strength = [], []
     for g in groups:
-        held = [min(n1[f] + n0[f]) for f in g]
         for k, f in enumerate(g):
-            other = (k + 1) % len(g)
-            change = np.zeros(len(kept))
-            change[place[f]] += 1
-            swaps.append(change.copy())  # put into a text that lacks it
+            changes.append(term(f))  # put into a text that lacks it
             strength.append(0.1)
-            change[place[g[other]]] -= 1
-            swaps.append(change)
-            strength.append(1 + held[k] + held[other])
-    swaps, strength = np.array(swaps), np.array(strength) * counterfactual / len(sets)
+            for other in g[k + 1 :]:
+                changes.append(term(f) - term(other))
+                strength.append(1 + held[f].min() + held[other].min())
+    return columns, np.array(changes), np.array(strength)
+
+
+def train(y: np.ndarray, sets: list[np.ndarray], kept: np.ndarray, held: np.ndarray, l1: float = 3e-4, counterfactual: float = 0.05, rounds: int = 250) -> Model:
+    """Fit on the texts' sets of ``kept`` features; ``counterfactual`` weighs the penalty on identity swaps, ``held`` counts the texts with a feature."""
+    weights = np.zeros(1 << BITS)
+    if not len(y) or y.min() == y.max():
+        return Model(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), weights)
+    place = np.full(1 << BITS, -1)
+    place[kept] = np.arange(len(kept))
+    col, row = place[np.concatenate(sets)], np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    columns, changes, strength = swap_penalty(place, held)
+    strength = strength * counterfactual / len(sets)
 
     target = y.astype(np.float64)
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
     w, b, v, vb, t = np.zeros(len(kept)), 0.0, np.zeros(len(kept)), 0.0, 1.0
-    step = 4.0 / (1 + np.bincount(row, minlength=len(y)).dot(balance) + (strength[:, None] * swaps**2).sum())
+    step = 4.0 / (1 + np.bincount(row, minlength=len(y)).dot(balance) + 4 * np.linalg.norm(np.sqrt(strength)[:, None] * changes, 2) ** 2)
     best = np.inf
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=v[col], minlength=len(y)) + vb, -40, 40)))
         r = (p - target) * balance
-        grad = np.bincount(col, weights=r[row], minlength=len(kept)) + swaps.T @ (strength * (swaps @ v))
+        grad = np.bincount(col, weights=r[row], minlength=len(kept))
+        grad[columns] += changes.T @ (strength * (changes @ v[columns]))
         new = v - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_b = vb - step * r.sum()
@@ -162,10 +184,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < limit)
     # at most about 2 * per_class rows, whatever the tables' sizes
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
-    rows = materialise(texts.select("toxic", "text").mapInArrow(_sets, "toxic int, features binary"), "labelled").toArrow()
-    order = np.argsort([f"{a}{b}" for a, b in zip(rows["toxic"].to_pylist(), (x[:64] for x in rows["features"].to_pylist()), strict=True)], kind="stable")
-    sets = rows["features"].to_pylist()
-    return train(rows["toxic"].to_numpy()[order] if rows.num_rows else np.zeros(0, np.int32), [np.frombuffer(sets[i], np.int32) for i in order], **options)
+    scratch = Scratch()
+    sets = scratch.keep(texts.select("toxic", "text").mapInArrow(_sets, "toxic int, features binary"), "labelled")
+    counts = sets.mapInArrow(_tallied, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most 2**BITS rows
+    n0, n1 = np.zeros((2, 1 << BITS))
+    n0[counts["feature"].to_numpy()], n1[counts["feature"].to_numpy()] = counts["n0"].to_numpy(), counts["n1"].to_numpy()
+    drawn = {r["toxic"]: r["count"] for r in sets.groupBy("toxic").count().collect()}
+    kept = significant(n0, n1, drawn.get(0, 0), drawn.get(1, 0))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(1 << BITS), kept))
+
+    def of_kept(batches):
+        for batch in batches:
+            own = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[wanted.value[x]].tobytes() for x in own], pa.binary())], names=["toxic", "features"])
+
+    rows = sets.mapInArrow(of_kept, "toxic int, features binary").toArrow()  # at most about 2 * per_class sets of MOST_FEATURES
+    scratch.clear()
+    found = sorted(zip(rows["toxic"].to_pylist(), rows["features"].to_pylist(), strict=True))
+    return train(np.array([t for t, _ in found], np.int32), [np.frombuffer(x, np.int32) for _, x in found], kept, n0 + n1, **options)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
