@@ -158,6 +158,76 @@ def test_template_decontamination(spark):
     assert decontaminate.leaks(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def plain_template(text):
+    """(kind or word, surface) of each word by a plain reading of the rules."""
+    out, before = [], None
+    for word in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        bare = word[0].strip("!\"'()*+,-./:;<=>?@[\\]^_`{|}~#&")
+        low = bare.lower()
+        if bare:
+            starts = before is None or before[0][-1] in ".!?:;" or text[before.end()] == "\n"
+            kind = "#N" if (re.search("[0-9]", bare) and re.fullmatch(r"[0-9.,:/%$]+", bare)) or low in decontaminate.NUMBER_WORDS else "#U" if low in decontaminate.UNITS else "#P" if not starts and re.match("[A-Z]", bare) else low
+            out.append((kind, low))
+        before = word
+    return out
+
+
+def plain_leaks(docs, items, window=6, coverage=0.4, long_run=14, least=3):
+    def windows(words, width):
+        if len(words) <= width:
+            return [(0, tuple(words))] if words else []
+        return [(k, tuple(words[k : k + width])) for k in range(len(words) - width + 1)]
+
+    out = set()
+    for item, itext in items:
+        words = plain_template(itext)
+        all_ = windows(words, window)
+        good = [w for w in all_ if sum(not k.startswith("#") for k, _ in w[1]) >= least]
+        used = good or all_
+        for doc, dtext in docs:
+            seen = plain_template(dtext)
+            there = windows(seen, window)
+            if good and len(words) < window:
+                there = [w for w in windows(seen, len(words)) if len(w[1]) == len(words)]
+            lines = {}
+            for a, w in used:
+                for b, v in there:
+                    if [k for k, _ in w] == [k for k, _ in v]:
+                        lines.setdefault(b - a, []).append((a, [(x[1], y[1]) for x, y in zip(w, v, strict=True) if x[0].startswith("#")]))
+            matched, verbatim = set(), True
+            for found in lines.values():
+                slots = {s for _, ss in found for s in ss}
+                if len({x for x, _ in slots}) == len(slots):
+                    matched |= {a for a, _ in found}
+                    verbatim &= all(x == y for x, y in slots)
+            if matched and len(matched) >= min(-(-len(used) * coverage // 1), long_run):
+                out.add((doc, item, len(used), len(matched), verbatim))
+    return out
+
+
+def test_template_decontamination_equals_a_plain_reading(spark):
+    rng = random.Random(21)
+    stock = "the a river stone bridge sells carries counts how many boxes of fruit are left after every long day in town and".split()
+    names, units = ["Anna", "Bert", "Carl", "Dora"], ["km", "dollars", "kg"]
+    part = lambda n: [rng.choice([rng.choice(stock)] * 6 + [rng.choice(names), str(rng.randrange(60)), rng.choice(units)]) for _ in range(n)]
+    head = part(12)  # a preamble that all items share
+    items = [(i, " ".join((head if i % 2 else []) + part(rng.choice([1, 2, 3, 4, 5, 6, 8, 15, 30])))) for i in range(60)] + [(None, "the river carries many boxes of fruit"), (7, None)]
+    docs = []
+    for i in range(120):
+        body = part(rng.randrange(0, 40))
+        for _ in range(rng.randrange(0, 3)):
+            words = (rng.choice(items)[1] or "").split()
+            change = {n: rng.choice(names) for n in names} if rng.random() < 0.5 else {}
+            cut = words[rng.randrange(0, 4) if len(words) > 12 else 0 :]
+            body += [change.get(w, w if rng.random() < 0.97 else "odd") for w in cut] + part(rng.randrange(0, 9))
+        docs.append((i, " ".join(body)))
+    docs += [(500, t) for _, t in items[:2]] + [(None, items[3][1]), (501, items[0][1].upper()), (502, "")]
+    got = {tuple(r) for r in decontaminate.leaks(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, width string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id", "n_windows", "matched", "verbatim").collect()}
+    want = plain_leaks([d for d in docs if d[0] not in (500,)], items)
+    assert {g for g in got if g[0] != 500} == want and len(want) > 60
+    assert {(500, 0), (500, 1)} <= {g[:2] for g in got}
+
+
 def test_template_words_are_typed():
     word, _, first = decontaminate.template_words(pa.array(["He met Anna. Then 3 km, (twenty) -- x2", "Bob"]))
     kinds = {int(decontaminate._NUMBER): "N", int(decontaminate._NAME): "P", int(decontaminate._UNIT): "U"}
