@@ -1,48 +1,48 @@
-"""Spatial queries on one mesh, vectorised over points in blocks."""
+"""Spatial queries on one mesh: through its bounding-volume tree, or against all faces where these are few."""
 
 from __future__ import annotations
 
 import numpy as np
 
+from . import bvh
 from . import mesh as M
 
-PAIRS = 400_000
+PAIRS, SMALL = 400_000, 64
 
 
-def closest(v: np.ndarray, t: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distance, nearest surface point and lowest nearest triangle of each point; exact over the seven Voronoi regions."""
-    a, b, c = (v[t[:, k]] for k in range(3))
-    ab, ac, bc = b - a, c - a, c - b
-    n = np.cross(ab, ac)
-    nn = np.einsum("ij,ij->i", n, n)
-    dist, where, face = np.empty(len(points)), np.empty((len(points), 3)), np.empty(len(points), np.int64)
-    step = max(1, PAIRS // max(1, len(t)))
+def _pairs(n: int, m: int):
+    """Blocks of all pairs of n queries and m faces, as matched index arrays."""
+    step = max(1, PAIRS // max(1, m))
+    for lo in range(0, n, step):
+        rows = np.arange(lo, min(n, lo + step))
+        yield rows, np.repeat(rows, m), np.tile(np.arange(m), len(rows))
 
-    def on_segment(p, o, d):
-        k = np.einsum("pti,ti->pt", p - o, d) / np.maximum(np.einsum("ij,ij->i", d, d), 1e-300)
-        return o + np.clip(k, 0, 1)[..., None] * d
 
-    for lo in range(0, len(points), step):
-        p = points[lo : lo + step, None, :]
-        q = p - a
-        w = np.einsum("pti,ti->pt", np.cross(ab, q), n) / np.maximum(nn, 1e-300)
-        u = np.einsum("pti,ti->pt", np.cross(q, ac), n) / np.maximum(nn, 1e-300)
-        inside = (u >= 0) & (w >= 0) & (u + w <= 1) & (nn > 1e-300)
-        best = a + u[..., None] * ab + w[..., None] * ac
-        d2 = np.where(inside, ((p - best) ** 2).sum(axis=-1), np.inf)
-        for o, d in ((a, ab), (b, bc), (a, ac)):
-            s = on_segment(p, o, d)
-            e2 = ((p - s) ** 2).sum(axis=-1)
-            nearer = e2 < d2
-            d2, best = np.where(nearer, e2, d2), np.where(nearer[..., None], s, best)
-        k = d2.argmin(axis=1)
-        at = np.arange(len(k))
-        dist[lo : lo + step], where[lo : lo + step], face[lo : lo + step] = np.sqrt(d2[at, k]), best[at, k], k
-    return dist, where, face
+def nearest(v: np.ndarray, t: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, nearest surface point, lowest nearest triangle and feature (0 face, 1 edge, 2 corner) of each point."""
+    if len(t) > SMALL:
+        return bvh.index(v, t).nearest(points)
+    dist, where, face, feature = np.empty(len(points)), np.empty((len(points), 3)), np.empty(len(points), np.int64), np.empty(len(points), np.int8)
+    corners = [v[t[:, k]] for k in range(3)]
+    for rows, q, f in _pairs(len(points), len(t)):
+        d2, best, kind = bvh.point_triangle(points[q], *(c[f] for c in corners))
+        d2 = d2.reshape(len(rows), -1)
+        k = (d2 <= d2.min(axis=1, keepdims=True) * (1 + bvh.TIE) + 1e-300).argmax(axis=1)
+        d2 = d2.ravel()
+        at = np.arange(len(rows)) * len(t) + k
+        dist[rows], where[rows], face[rows], feature[rows] = np.sqrt(d2[at]), best[at], k, kind[at]
+    return dist, where, face, feature
+
+
+def closest(v: np.ndarray, t: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, nearest surface point and lowest nearest triangle of each point."""
+    return nearest(v, t, points)[:3]
 
 
 def winding(v: np.ndarray, t: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Solid angle over 4 pi: 1 inside a closed mesh, 0 outside."""
+    """Solid angle over 4 pi: 1 inside a closed mesh, 0 outside. Far parts of large meshes count as dipoles."""
+    if len(t) > SMALL:
+        return bvh.index(v, t).winding(points)
     out = np.empty(len(points))
     step = max(1, PAIRS // max(1, len(t)))
     for lo in range(0, len(points), step):
@@ -60,45 +60,20 @@ def signed_distances(v: np.ndarray, t: np.ndarray, points: np.ndarray) -> np.nda
 
 
 def raycast(v: np.ndarray, t: np.ndarray, origins: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance along each ray to its first hit (inf: none) and the lowest triangle there.
-
-    Fixed values: hits count beyond 1e-9, barycentric slack 1e-4, determinants from 1e-12.
-    """
-    a, b, c = (v[t[:, k]] for k in range(3))
-    e1, e2 = b - a, c - a
+    """Distance along each ray to its first hit (inf: none) and the lowest triangle there."""
+    if len(t) > SMALL:
+        return bvh.index(v, t).first_hits(origins, directions)
     near, face = np.full(len(origins), np.inf), np.full(len(origins), -1)
-    step = max(1, PAIRS // max(1, len(t)))
-    for lo in range(0, len(origins), step):
-        d = directions[lo : lo + step, None, :]
-        p = np.cross(d, e2)
-        det = np.einsum("rti,ti->rt", p, e1)
-        ok = np.abs(det) >= 1e-12
-        inv = 1 / np.where(ok, det, 1)
-        s = origins[lo : lo + step, None, :] - a
-        u = np.einsum("rti,rti->rt", s, p) * inv
-        q = np.cross(s, e1)
-        w = np.einsum("rti,rti->rt", np.broadcast_to(d, q.shape), q) * inv
-        dist = np.einsum("rti,ti->rt", q, e2) * inv
-        ok &= (u >= -1e-4) & (w >= -1e-4) & (u + w <= 1 + 1e-4) & (dist > 1e-9)
-        dist = np.where(ok, dist, np.inf)
+    corners = [v[t[:, k]] for k in range(3)]
+    for rows, q, f in _pairs(len(origins), len(t)):
+        dist = bvh.ray_triangle(origins[q], directions[q], *(c[f] for c in corners)).reshape(len(rows), -1)
         if dist.shape[1]:
             k = dist.argmin(axis=1)
-            near[lo : lo + step] = dist[np.arange(len(k)), k]
-            face[lo : lo + step] = np.where(np.isfinite(near[lo : lo + step]), k, -1)
+            near[rows] = dist[np.arange(len(k)), k]
+            face[rows] = np.where(np.isfinite(near[rows]), k, -1)
     return near, face
 
 
-def overlapping(low_a, high_a, low_b, high_b) -> np.ndarray:
-    """Index pairs of boxes that overlap, by blocks."""
-    out = []
-    step = max(1, PAIRS // max(1, len(low_b)))
-    for lo in range(0, len(low_a), step):
-        hit = ((low_a[lo : lo + step, None] <= high_b[None]) & (high_a[lo : lo + step, None] >= low_b[None])).all(axis=-1)
-        i, j = np.nonzero(hit)
-        out.append(np.stack([i + lo, j], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
 def crossing(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Whether triangles p[k] and q[k] cross properly; touching and coplanar ones do not."""
     n1, n2 = (np.cross(x[:, 1] - x[:, 0], x[:, 2] - x[:, 0]) for x in (p, q))
@@ -133,7 +108,7 @@ def self_intersections(v: np.ndarray, t: np.ndarray) -> int:
     if not len(t):
         return 0
     low, high = v[t].min(axis=1), v[t].max(axis=1)
-    pairs = overlapping(low, high, low, high)
+    pairs = bvh.index(v, t).overlaps(low, high)
     pairs = pairs[pairs[:, 0] < pairs[:, 1]]
     a, b = t[pairs[:, 0]], t[pairs[:, 1]]
     pairs = pairs[~(a[:, :, None] == b[:, None, :]).any(axis=(1, 2))]
