@@ -60,12 +60,12 @@ IBAN_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT
 _W = "[A-ZÄÖÜÀÉÈÇÑ][a-zäöüßàáéèêçñíóúâôîû]++"
 CANDIDATES = {
     "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
-    "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "birth_date": r"(?<![0-9./-])(?:[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9/-])",
-    "name": rf"(?<![A-Za-z0-9@._-]){_W}(?:\x20{_W}){{1,2}}+(?![A-Za-z0-9@])",
-    "address": rf"(?<![A-Za-z0-9])(?:[0-9]{{1,5}}+(?:\x20{_W}){{1,3}}?\x20(?:{STREET_WORDS.replace(' ', '|')})(?![A-Za-z])|[A-ZÄÖÜ][a-zäöü]*?(?:straße|strasse|platz|allee|gasse)\x20[0-9]{{1,4}}+[a-z]?|(?:Calle|Avenida|Plaza|Rue|Boulevard)\x20(?:(?:de|del|la|du|des|le)\x20)*+{_W}(?:\x20{_W})?+,?\x20[0-9]{{1,4}}+)",
-    "local_phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "national_id": r"(?=[0-9])(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "birth_date": r"(?=[0-9])(?<![0-9./-])(?:[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9/-])",
+    "name": rf"(?=[A-ZÄÖÜÀÉÈÇÑ])(?<![A-Za-z0-9@._-]){_W}(?:\x20{_W}){{1,2}}+(?![A-Za-z0-9@])",
+    "address": rf"(?=[0-9A-ZÄÖÜ])(?<![A-Za-z0-9])(?:[0-9]{{1,5}}+(?:\x20{_W}){{1,3}}?\x20(?:{STREET_WORDS.replace(' ', '|')})(?![A-Za-z])|[A-ZÄÖÜ][a-zäöü]*?(?:straße|strasse|platz|allee|gasse)\x20[0-9]{{1,4}}+[a-z]?|(?:Calle|Avenida|Plaza|Rue|Boulevard)\x20(?:(?:de|del|la|du|des|le)\x20)*+{_W}(?:\x20{_W})?+,?\x20[0-9]{{1,4}}+)",
+    "local_phone": r"(?=[0-9(])(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 }
 
 
@@ -164,9 +164,12 @@ def located_spans(docs: DataFrame, text: Column, kinds: dict[str, str]) -> DataF
     """Add a column ``_pii_<kind>`` of located matches for each pattern; the regular expressions run once where nothing matches."""
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
     out = docs.withColumn("_pii_text", text)
-    out = out.withColumns({f"_pii_f_{k}": F.regexp_extract_all("_pii_text", F.lit(p), F.lit(0)) for k, p in kinds.items()})
+    # every pattern but two needs a digit, and one an at sign: a text without is not searched for it
+    out = out.withColumn("_pii_digit", F.col("_pii_text").rlike("[0-9]"))
+    needs = {"email": F.contains(F.col("_pii_text"), F.lit("@")), "name": F.lit(True)}
+    out = out.withColumns({f"_pii_f_{k}": F.when(needs.get(k, F.col("_pii_digit")), F.regexp_extract_all("_pii_text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in kinds.items()})
     out = out.withColumns({f"_pii_{k}": F.when(F.size(f"_pii_f_{k}") > 0, _located(F.col(f"_pii_f_{k}"), F.split("_pii_text", p, -1))).otherwise(none) for k, p in kinds.items()})
-    return out.drop(*[f"_pii_f_{k}" for k in kinds])
+    return out.drop("_pii_digit", *[f"_pii_f_{k}" for k in kinds])
 
 
 def _share(value: Column, pattern: str) -> Column:
