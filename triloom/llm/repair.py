@@ -25,7 +25,6 @@ text; a null id sorts first. An empty table has no shard. Only the named columns
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -47,7 +46,7 @@ MOST = 500_000
 SLICE_BYTES = 6_000_000
 
 _SHARD = "part int, seq int, tokens long, base int, width int, rules binary, lengths binary, symbols binary, doc_ids binary, ends binary, null_ids binary"
-_WORD = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+_WORD = "^[a-zß-öø-ÿ]+$"
 
 # The steps of a tokenizer file under which chunks between white space can be encoded alone, in lower case.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -84,7 +83,7 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.chunked = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == SPLITTER and all("<|" in t["content"] for t in spec["added_tokens"])
         self.simple = self.chunked and self._simple()
-        self.end = {m: self._library([m])[0] for m in ".,"} | {"": []}
+        self.end = {m: self._library([m])[0] for m in ".,"}
         self._clear()
 
     def _simple(self) -> bool:
@@ -110,20 +109,19 @@ class Encoder:
         self.used, self.start, self.size = 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        coded: list[list[int] | None] = []
-        odd = []
+        coded: list[list[int] | None] = [None] * len(chunks)
+        given = pa.array(chunks, pa.large_string())
+        bare = pc.replace_substring_regex(given, "[.,]$", "")
+        plain = np.asarray(pc.match_substring_regex(bare, _WORD)) if self.simple else np.zeros(len(chunks), bool)
+        marked = np.asarray(pc.not_equal(bare, given))
         known, tokens, letters, end = self.words, self.model.tokenize, self.letters, self.end
-        for k, chunk in enumerate(chunks):
-            mark = chunk[-1:]
-            word, mark = (chunk[:-1], mark) if mark in end else (chunk, "")
+        picked = np.flatnonzero(plain).tolist()
+        for k, word, has_mark in zip(picked, bare.filter(pa.array(plain)).to_numpy(zero_copy_only=False).tolist(), marked[plain].tolist(), strict=True):
             ids = known.get(word)
             if ids is None:
-                if not self.simple or not _WORD(word):
-                    odd.append(k)
-                    coded.append(None)
-                    continue
                 ids = known[word] = [t.id for t in tokens(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]
-            coded.append(ids + end[mark] if mark else ids)
+            coded[k] = ids + end[chunks[k][-1]] if has_mark else ids
+        odd = np.flatnonzero(~plain).tolist()
         for k, ids in zip(odd, self._library([chunks[k] for k in odd]), strict=True):
             coded[k] = ids
         at, sizes = len(self.table), np.fromiter(map(len, coded), np.int64, len(coded))
@@ -150,7 +148,7 @@ class Encoder:
         lower = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(scan.LOWER[raw])])
         split = pc.ascii_split_whitespace(lower)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [c for c in distinct if c not in self.table]
         if len(self.table) + len(new) > self.most and self.table:
             self._clear()
