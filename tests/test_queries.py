@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from triloom.operators import generate, measure, transform
+from triloom.operators import generate, measure, spatial, transform
 from triloom.plans import workload
 from triloom.sources import meshio
 from triloom.types import vec3
@@ -24,7 +24,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in workload.QUERIES if n not in ("offset", "batch_union", "batch_subtract", "repair_self_intersections")])
+@pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     got, want = workload.QUERIES[name](spark, SF).toPandas(), duck.sql(workload.ORACLES[name]).df()
     columns = sorted(got.columns)
@@ -63,6 +63,32 @@ def test_mesh_file_source(spark, tmp_path):
         m.write.format("meshfile").option("format", "ply").mode("append").save(str(tmp_path / "out"))
 
 
+def test_mesh_file_writes_are_whole_or_nothing(spark, tmp_path):
+    meshio.register(spark)
+    m = workload.box(workload.parts(spark, SF).where("mesh_id <= 4")).withColumn("name", F.concat(F.lit("m"), "mesh_id")).select("name", "vertices", "triangles")
+    bad = m.withColumn("triangles", F.when(F.col("name") == "m3", F.lit(None).cast(m.schema["triangles"].dataType)).otherwise(F.col("triangles")))
+    with pytest.raises(Exception):  # noqa: B017
+        bad.repartition(4).write.format("meshfile").option("format", "obj").mode("append").save(str(tmp_path / "torn"))
+    assert not list((tmp_path / "torn").glob("*.obj")) and not list((tmp_path / "torn").glob(".stage-*"))
+    m.write.format("meshfile").option("format", "obj").mode("append").save(str(tmp_path / "out"))
+    (tmp_path / "out" / "old.obj").write_text("v 0 0 0")
+    m.limit(2).write.format("meshfile").option("format", "obj").mode("overwrite").save(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    gone = spark.read.format("meshfile").load(str(tmp_path / "nowhere")).collect()
+    assert [(r["name"], r["error_code"]) for r in gone] == [("nowhere", "MeshIO.FileNotFound")]
+
+
+def test_nearest_rows_equal_the_nested_form(spark):
+    balls = workload.big_spheres(spark, SF).limit(2).drop("points")
+    points = balls.select("mesh_id").join(spark.range(200).select((F.col("id") % 7).alias("a"), "id")).select("mesh_id", F.col("id").alias("pid"), vec3(F.sin(F.col("id") * 1.0) * 9, F.cos(F.col("id") * 2.0) * 9, F.sin(F.col("id") * 3.0) * 9).alias("p"))
+    rows = {(r["mesh_id"], r["pid"]): (r["distance"], r["tid"]) for r in spatial.closest_rows(points, balls, 300).collect()}
+    nested = balls.join(points.groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("pid", "p"))).alias("q")), "mesh_id").withColumn("points", F.col("q.p"))
+    for r in spatial.closest(nested).select("mesh_id", F.explode(F.arrays_zip("q", "hits")).alias("h")).select("mesh_id", "h.q.pid", "h.hits.distance", "h.hits.tid").collect():
+        d, tid = rows[r["mesh_id"], r["pid"]]
+        assert d == pytest.approx(r["distance"], abs=1e-12) and tid == r["tid"]
+    assert len(rows) == 400
+
+
 def test_failures_are_values(spark):
     df = spark.createDataFrame([(1, 1.0), (2, -1.0), (3, float("nan"))], "mesh_id long, r double")
     got = {r["mesh_id"]: r["error_code"] for r in measure.statistics(generate.cylinders(df, vec3(0, 0, 0), F.col("r"), F.lit(1.0))).collect()}

@@ -22,6 +22,14 @@ class Failure(Exception):
         self.code = code
 
 
+class Rows:
+    """An array of structs as a kernel makes it: one NumPy array a field, and which entries are not null."""
+
+    def __init__(self, columns: dict[str, np.ndarray], valid: np.ndarray | None = None):
+        self.columns, self.size = columns, len(next(iter(columns.values())))
+        self.valid = np.ones(self.size, bool) if valid is None else valid
+
+
 def as_array(values, names: str, kind=np.float64) -> np.ndarray:
     return np.array([[v[n] for n in names] for v in values], kind).reshape(-1, len(names))
 
@@ -71,6 +79,8 @@ def _columns(arrays: list, kind: T.DataType) -> pa.Array:
 
     arrow = to_arrow_type(kind)
     inner = kind.elementType if isinstance(kind, T.ArrayType) else None
+    if any(isinstance(a, Rows) for a in arrays):
+        return _structs(arrays, inner, arrow)
     if isinstance(inner, T.StructType) and all(isinstance(f.dataType, (T.DoubleType, T.IntegerType)) for f in inner.fields):
         width = len(inner.fields)
         made = [np.zeros((0, width)) if a is None else np.asarray(a).reshape(-1, width) for a in arrays]
@@ -82,6 +92,21 @@ def _columns(arrays: list, kind: T.DataType) -> pa.Array:
     return pa.array([encode(a, kind) for a in arrays], arrow)
 
 
+def _structs(arrays: list[Rows | None], inner: T.StructType, arrow: pa.DataType) -> pa.Array:
+    some = [a for a in arrays if a is not None]
+
+    def column(name: str, kind: T.DataType, arrow_kind: pa.DataType) -> pa.Array:
+        flat = np.concatenate([a.columns[name] for a in some])
+        if isinstance(kind, T.StructType):
+            return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(len(kind.fields))], fields=list(arrow_kind))
+        return pa.array(flat.astype(np.float64 if isinstance(kind, T.DoubleType) else np.int32))
+
+    fields = [column(f.name, f.dataType, arrow.value_type.field(f.name).type) for f in inner.fields]
+    values = pa.StructArray.from_arrays(fields, fields=list(arrow.value_type), mask=pa.array(~np.concatenate([a.valid for a in some])))
+    offsets = np.concatenate([[0], np.cumsum([0 if a is None else a.size for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, type=arrow, mask=pa.array([a is None for a in arrays]))
+
+
 def _read(column: pa.Array, kind: T.DataType) -> list:
     inner = kind.elementType if isinstance(kind, T.ArrayType) else None
     if isinstance(inner, T.StructType) and inner.fieldNames() in (["x", "y", "z"], ["x", "y"], ["a", "b", "c"]) and not column.null_count:

@@ -23,11 +23,11 @@ def nearest(v: np.ndarray, t: np.ndarray, points: np.ndarray) -> tuple[np.ndarra
     if len(t) > SMALL:
         return bvh.index(v, t).nearest(points)
     dist, where, face, feature = np.empty(len(points)), np.empty((len(points), 3)), np.empty(len(points), np.int64), np.empty(len(points), np.int8)
-    corners = [v[t[:, k]] for k in range(3)]
+    corners, slack = [v[t[:, k]] for k in range(3)], bvh.tie_slack(v)
     for rows, q, f in _pairs(len(points), len(t)):
         d2, best, kind = bvh.point_triangle(points[q], *(c[f] for c in corners))
         d2 = d2.reshape(len(rows), -1)
-        k = (d2 <= d2.min(axis=1, keepdims=True) * (1 + bvh.TIE) + 1e-300).argmax(axis=1)
+        k = (d2 <= d2.min(axis=1, keepdims=True) * (1 + bvh.TIE) + slack).argmax(axis=1)
         d2 = d2.ravel()
         at = np.arange(len(rows)) * len(t) + k
         dist[rows], where[rows], face[rows], feature[rows] = np.sqrt(d2[at]), best[at], k, kind[at]

@@ -48,7 +48,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores: kernels cost far more than moving their few parameters, and a small table is one partition."""
+    """Rows dealt over all cores where they lie in fewer partitions: kernels cost far more than moving their few parameters."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "mesh_id")
 
 
@@ -355,14 +357,23 @@ def nations(spark, sf_dir):
     return spread(load(spark, sf_dir, "nation").select(k.cast("long").alias("mesh_id"), (2 + k % 4).cast("double").alias("sx"), (2 + k % 3).cast("double").alias("sy"), (2 + k % 2).cast("double").alias("sz"), (2 + k % 4).cast("double").alias("r")))
 
 
-_NATION_TRUE = "SELECT CAST(n_nationkey AS BIGINT) AS mesh_id, TRUE AS is_watertight, TRUE AS right_volume FROM nation"
+def _nation(low: str, *high: str) -> str:
+    """SQL of a watertight result with the right volume and these bounds."""
+    return "SELECT CAST(n_nationkey AS BIGINT) AS mesh_id, TRUE AS is_watertight, TRUE AS right_volume, " + ", ".join([f"{low} AS min_{k}" for k in "xyz"] + [f"{h} AS max_{k}" for h, k in zip(high, "xyz", strict=True)]) + " FROM nation"
 
 
-def _near(df, volume: Column, share: float, spark, sf_dir):
-    return measured(df).join(nations(spark, sf_dir), "mesh_id").select("mesh_id", "is_watertight", (F.abs(F.col("volume") - volume) <= share * volume).alias("right_volume"))
+_SIDES = ("2e0 + n_nationkey % 4", "2e0 + n_nationkey % 3", "2e0 + n_nationkey % 2")
 
 
-@query(_NATION_TRUE)
+def _near(df, volume: Column, share: float, spark, sf_dir, digits: int = 4):
+    """Whether the volume is within ``share`` (a curved surface has no closed form on a grid), and the bounds, which have one."""
+    audited = measure.with_predicates(measure.with_topology(df))
+    found = measure.statistics(audited, "is_watertight").select("mesh_id", "volume", "is_watertight", *[clean(F.col(f"{m}_{k}"), digits).alias(f"{m}_{k}") for m in ("min", "max") for k in "xyz"])
+    found = found.join(nations(spark, sf_dir), "mesh_id")
+    return found.select("mesh_id", "is_watertight", (F.abs(F.col("volume") - volume) <= share * volume).alias("right_volume"), *_BOUNDS[2:])
+
+
+@query(_nation("-2e0 - n_nationkey % 4", *["2e0 + n_nationkey % 4"] * 3))
 def level_sets(spark, sf_dir):
     r = F.col("r")
     rows = nations(spark, sf_dir).withColumns({"low": vec3(-r, -r, -r), "high": vec3(r, r, r)})
@@ -374,27 +385,27 @@ def _grown(d: float) -> Column:
     return x * y * z + 2 * d * (x * y + y * z + z * x) + math.pi * d * d * (x + y + z) + 4 / 3 * math.pi * d**3
 
 
-@query(_NATION_TRUE)
+@query(_nation("-0.5e0", *[f"{x} + 0.5e0" for x in _SIDES]))
 def offset(spark, sf_dir):
     return _near(modify.offset(box(nations(spark, sf_dir)), 0.5), _grown(0.5), 0.02, spark, sf_dir)
 
 
-@query(_NATION_TRUE)
+@query(_nation("0e0", *_SIDES))
 def double_offset(spark, sf_dir):
-    return _near(modify.double_offset(box(nations(spark, sf_dir)), 0.5, 1, 0.2), F.col("sx") * F.col("sy") * F.col("sz"), 0.06, spark, sf_dir)
+    return _near(modify.double_offset(box(nations(spark, sf_dir)), 0.5, 1, 0.2), F.col("sx") * F.col("sy") * F.col("sz"), 0.06, spark, sf_dir, 1)
 
 
-@query(_NATION_TRUE)
+@query(_nation("0e0", *_SIDES))
 def offset_smooth(spark, sf_dir):
-    return _near(modify.offset_smooth(box(nations(spark, sf_dir)), 0.5, 1, 0.15), F.col("sx") * F.col("sy") * F.col("sz"), 0.06, spark, sf_dir)
+    return _near(modify.offset_smooth(box(nations(spark, sf_dir)), 0.5, 1, 0.15), F.col("sx") * F.col("sy") * F.col("sz"), 0.06, spark, sf_dir, 1)
 
 
-@query("SELECT s_suppkey AS mesh_id, TRUE AS is_watertight, TRUE AS small_enough, TRUE AS right_volume FROM supplier")
+@query("SELECT s_suppkey AS mesh_id, TRUE AS is_watertight, CAST(150 AS BIGINT) AS n_triangles, TRUE AS right_volume FROM supplier")
 def decimate(spark, sf_dir):
     ball = generate.spheres(suppliers(spark, sf_dir), vec3(0, 0, 0), F.col("r"), 24).withColumn("annotations", F.lit(None).cast("map<string,string>"))
     m = measured(modify.decimate(ball, 150), "n_triangles").join(suppliers(spark, sf_dir), "mesh_id")
     full = 4 / 3 * math.pi * F.pow("r", F.lit(3))
-    return m.select("mesh_id", "is_watertight", (F.col("n_triangles") <= 150).alias("small_enough"), (F.abs(F.col("volume") - full) < 0.12 * full).alias("right_volume"))
+    return m.select("mesh_id", "is_watertight", "n_triangles", (F.abs(F.col("volume") - full) < 0.06 * full).alias("right_volume"))
 
 
 @query("SELECT s_suppkey AS mesh_id, TRUE AS is_watertight, TRUE AS larger, CAST(4 * 2 * 16 * 7 AS BIGINT) AS n_triangles FROM supplier")
@@ -404,17 +415,41 @@ def smooth_edges(spark, sf_dir):
     return measured(modify.smooth_edges(ball), "n_triangles").join(before, "mesh_id").select("mesh_id", "is_watertight", (F.col("volume") > F.col("was")).alias("larger"), "n_triangles")
 
 
-@query("SELECT p_partkey AS mesh_id, CAST(8 AS BIGINT) AS n_vertices, CAST(12 AS BIGINT) AS n_triangles, TRUE AS changed FROM part")
+_RING = ", ".join(f"({f[k]}, {f[(k + d) % 3]})" for q in generate.BOX_QUADS for f in ((q[0], q[1], q[2]), (q[0], q[2], q[3])) for k in range(3) for d in (1, 2))
+
+
+def _pass(rows: str, k: str) -> str:
+    """SQL of one smoothing pass over box corners: each moves by ``k`` of the way to the mean of its neighbours, counted once a face."""
+    means = f"SELECT c.mesh_id, r.a AS vid, avg(c.x) AS mx, avg(c.y) AS my, avg(c.z) AS mz FROM {rows} c JOIN (VALUES {_RING}) r(a, b) ON c.vid = r.b GROUP BY c.mesh_id, r.a"
+    return f"(SELECT c.mesh_id, c.vid, c.x + {k} * (mx - c.x) AS x, c.y + {k} * (my - c.y) AS y, c.z + {k} * (mz - c.z) AS z FROM {rows} c JOIN ({means}) m ON m.mesh_id = c.mesh_id AND m.vid = c.vid)"
+
+
+_CORNERS = f"(SELECT mesh_id, v.vid, (v.vid & 1) * sx AS x, ((v.vid >> 1) & 1) * sy AS y, ((v.vid >> 2) & 1) * sz AS z FROM ({PART}) CROSS JOIN generate_series(0, 7) v(vid))"
+_SMOOTHED = _pass(_pass(_CORNERS, "0.5e0"), "(1 / (0.1e0 - 2))")
+_SMOOTH_SQL = f"SELECT mesh_id, CAST(vid AS INTEGER) AS vid, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM {_SMOOTHED} q"
+
+
+def corners(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select("mesh_id", F.posexplode("vertices").alias("vid", "p"), *keep).select("mesh_id", "vid", *[clean(F.col(f"p.{k}"), 6).alias(k) for k in "xyz"], *keep)
+
+
+@query(_SMOOTH_SQL)
 def laplacian(spark, sf_dir):
-    s = measure.statistics(modify.laplacian(part_boxes(spark, sf_dir), 1)).join(parts(spark, sf_dir), "mesh_id")
-    return s.select("mesh_id", "n_vertices", "n_triangles", (F.col("volume") != F.col("sx") * F.col("sy") * F.col("sz")).alias("changed"))
+    """One shrinking and one growing pass; every coordinate."""
+    return corners(modify.laplacian(part_boxes(spark, sf_dir), 1))
 
 
-@query("SELECT p_partkey AS mesh_id, TRUE AS capped FROM part")
+@query(f"SELECT q.*, TRUE AS still, TRUE AS capped, TRUE AS moved FROM ({_SMOOTH_SQL}) q")
 def smooth_creases(spark, sf_dir):
-    before = part_boxes(spark, sf_dir)
-    after = modify.smooth_creases(before.withColumn("was", F.col("vertices")))
-    return after.select("mesh_id", F.forall(F.zip_with("vertices", "was", lambda a, b: V.length(V.sub(a, b))), lambda d: d <= 0.25 + 1e-12).alias("capped"))
+    """All edges of a box are creases, so one round without a cap is a whole smoothing; an angle beyond 90 degrees moves nothing; the cap holds."""
+    before = part_boxes(spark, sf_dir).withColumn("was", F.col("vertices"))
+    far = lambda df: F.array_max(F.zip_with("vertices", "was", lambda a, b: V.length(V.sub(a, b))))
+    flat = modify.smooth_creases(before, degrees=91.0)
+    flat = flat.withColumn("still", far(flat) == 0).select("mesh_id", "still")
+    short = modify.smooth_creases(before, cap=0.25)
+    short = short.withColumn("capped", far(short) <= 0.25 + 1e-12).withColumn("moved", far(short) > 0.01).select("mesh_id", "capped", "moved")
+    free = modify.smooth_creases(before, cap=1e9, iterations=1).join(flat, "mesh_id").join(short, "mesh_id")
+    return corners(free, "still", "capped", "moved")
 
 
 def soups(spark, sf_dir):
@@ -465,7 +500,7 @@ def union(spark, sf_dir):
 def _tight(df):
     """Volume and closedness; two shells that touch along an edge are closed, though that edge has four faces."""
     audited = measure.with_predicates(measure.with_topology(df))
-    return measure.statistics(audited, "is_closed").select("mesh_id", clean(F.col("volume"), 6).alias("volume"), F.coalesce("is_closed", F.lit(True)).alias("is_watertight"))
+    return measure.statistics(audited, "is_closed").select("mesh_id", clean(F.col("volume"), 6).alias("volume"), F.coalesce("is_closed", F.col("n_triangles") == 0).alias("is_watertight"))
 
 
 @query(f"SELECT mesh_id, round({_A} - {_over('s', 'u')}, 6) + 0e0 AS volume, TRUE AS is_watertight FROM ({OTHERS})")
@@ -680,3 +715,109 @@ def decal_projection(spark, sf_dir):
     block = box(suppliers(spark, sf_dir), (0, 0, 0), (F.col("r"), F.lit(1.0), F.lit(3.0))).select("mesh_id", F.col("vertices").alias("prism_vertices"), F.col("triangles").alias("prism_triangles"))
     out = decal.projected(slab.withColumn("frame", frame).join(block, "mesh_id"))
     return out.select("mesh_id", "overhangs", "too_curved", clean(F.array_max("vertices.z"), 6).alias("top"))
+
+
+_SEGMENTS, _STEP = 60, math.pi / 30
+#: The height of a face at the pole over the slope's foot: how much of a step down the axis counts towards the nearest face.
+_TILT = f"(sin({_STEP}) * cos(pi() / {_SEGMENTS}) / sqrt(pow(sin({_STEP}) * cos(pi() / {_SEGMENTS}), 2) + pow(1 - cos({_STEP}), 2)))"
+
+
+def big_spheres(spark, sf_dir):
+    """A sphere of 3,480 faces for each supplier, and points above and under its poles."""
+    at = lambda h, side: vec3(F.lit(0.0), F.lit(0.0), side * (F.col("r") + h))
+    points = F.array(*[at(h, side) for side in (1, -1) for h in (1.0, 2.5, -0.1, -0.2)])
+    return generate.spheres(suppliers(spark, sf_dir), vec3(0, 0, 0), F.col("r"), _SEGMENTS).withColumn("points", points)
+
+
+@query(f"SELECT s_suppkey AS mesh_id, CAST(p.pid AS INTEGER) AS pid, round(CASE WHEN h > 0 THEN h ELSE h * {_TILT} END, 9) AS distance FROM supplier CROSS JOIN (VALUES (0, 1e0), (1, 2.5e0), (2, -0.1e0), (3, -0.2e0), (4, 1e0), (5, 2.5e0), (6, -0.1e0), (7, -0.2e0)) p(pid, h)")
+def sphere_signed_distances(spark, sf_dir):
+    """Over a pole the pole is nearest; under it the faces that meet there."""
+    out = spatial.signed_distances(big_spheres(spark, sf_dir)).select("mesh_id", F.posexplode("distances").alias("pid", "d"))
+    return out.select("mesh_id", "pid", F.round("d", 9).alias("distance"))
+
+
+@query("SELECT s_suppkey AS mesh_id, CAST(p.pid AS INTEGER) AS pid, p.h AS distance, TRUE AS at_pole, 'vertex' AS feature FROM supplier CROSS JOIN (VALUES (0, 1e0), (1, 2.5e0), (4, 1e0), (5, 2.5e0)) p(pid, h)")
+def sphere_closest(spark, sf_dir):
+    out = spatial.closest(big_spheres(spark, sf_dir)).select("mesh_id", "r", F.posexplode("hits").alias("pid", "h")).where(F.col("pid").isin(0, 1, 4, 5))
+    pole = (F.abs(F.abs(F.col("h.point.z")) - F.col("r")) < 1e-9) & (F.abs(F.col("h.point.x")) + F.abs(F.col("h.point.y")) < 1e-9)
+    return out.select("mesh_id", "pid", F.round("h.distance", 9).alias("distance"), pole.alias("at_pole"), F.element_at(F.array(*map(F.lit, spatial.FEATURES)), F.col("h.feature") + 1).alias("feature"))
+
+
+@query("SELECT s_suppkey AS mesh_id, CAST(p.pid AS INTEGER) AS pid, p.h AS distance FROM supplier CROSS JOIN (VALUES (0, 1e0), (1, 2.5e0), (4, 1e0), (5, 2.5e0)) p(pid, h)")
+def sphere_raycast(spark, sf_dir):
+    rows = big_spheres(spark, sf_dir).withColumnRenamed("points", "origins").withColumn("directions", F.transform("origins", lambda p: vec3(F.lit(0.0), F.lit(0.0), -p["z"])))
+    out = spatial.raycast(rows).select("mesh_id", F.posexplode("hits").alias("pid", "h")).where(F.col("pid").isin(0, 1, 4, 5))
+    return out.select("mesh_id", "pid", F.round("h.distance", 9).alias("distance"))
+
+
+@query("SELECT s_suppkey AS mesh_id, p.pid AS pid, p.h AS distance, p.z * (4e0 + s_suppkey % 5) AS point_z FROM supplier CROSS JOIN (VALUES (0, 1e0, 1), (1, 2.5e0, 1), (4, 1e0, -1), (5, 2.5e0, -1)) p(pid, h, z)")
+def nearest_face_rows(spark, sf_dir):
+    """The relational form: faces in blocks, points as rows."""
+    balls = big_spheres(spark, sf_dir)
+    points = balls.select("mesh_id", F.posexplode("points").alias("pid", "p")).where(F.col("pid").isin(0, 1, 4, 5))
+    out = spatial.closest_rows(points, balls.drop("points"), 500)
+    return out.select("mesh_id", "pid", F.round("distance", 9).alias("distance"), clean(F.col("point.z")).alias("point_z"))
+
+
+@query("SELECT s_suppkey AS mesh_id, round((4e0 + s_suppkey % 5) * (1600 - 8 * 4), 6) AS volume, CAST(172 AS BIGINT) AS n_triangles, TRUE AS is_watertight FROM supplier")
+def drilled_plates(spark, sf_dir):
+    """A plate of 40 by 40 less eight square holes, one after the other: flat faces are merged, so their number is the least there is."""
+    plate = box(suppliers(spark, sf_dir), (-20, -20, 0), (F.lit(40.0), F.lit(40.0), F.col("r"))).withColumn("ord", F.lit(0))
+    out = plate.select(F.col("mesh_id").alias("group_id"), "ord", "vertices", "triangles")
+    for k in range(8):
+        hole = box(suppliers(spark, sf_dir), (-17.0 + 4.5 * k, -11.0 + 3 * (k % 4) + 0.5 * k, -1.0), (F.lit(2.0), F.lit(2.0), F.col("r") + 2))
+        out = out.unionByName(hole.select(F.col("mesh_id").alias("group_id"), F.lit(k + 1).alias("ord"), "vertices", "triangles"))
+    return measured(solid.batch(out, "subtract").withColumnRenamed("group_id", "mesh_id"), "n_triangles")
+
+
+@query(f"SELECT mesh_id, round(sx * sy * sz, 6) AS volume, 1e0 - sy AS min_x, 2e0 AS min_y, 3e0 AS min_z, 1e0 AS max_x, 2e0 + sx AS max_y, 3e0 + sz AS max_z FROM ({PART})")
+def framed_boxes(spark, sf_dir):
+    """Boxes in a frame whose first axis is y and whose second is -x."""
+    frame = F.struct(vec3(1, 2, 3).alias("origin"), vec3(0, 1, 0).alias("u"), vec3(-1, 0, 0).alias("v"), vec3(0, 0, 1).alias("n"))
+    m = generate.boxes(parts(spark, sf_dir), vec3(0, 0, 0), vec3(F.col("sx"), F.col("sy"), F.col("sz")), frame)
+    return measure.statistics(m).select("mesh_id", *[clean(F.col(c), 6).alias(c) for c in _BOUNDS[1:]])
+
+
+@query(f"SELECT mesh_id, sx * sy * sz AS volume, CAST(12 AS BIGINT) AS n_triangles, 'part ' || mesh_id AS name, 'workload' AS created_by, 'kept' AS note FROM ({PART})")
+def built_and_named(spark, sf_dir):
+    """Faces with a repeated corner are dropped while a mesh is built; new metadata leaves its geometry."""
+    odd = F.struct(F.lit(1).alias("a"), F.lit(1).alias("b"), F.lit(4).alias("c"))
+    m = generate.build(part_boxes(spark, sf_dir).withColumn("triangles", F.concat(F.array(odd), "triangles")))
+    m = transform.with_metadata(m, F.concat(F.lit("part "), F.col("mesh_id")), F.lit("workload"), F.create_map(F.lit("note"), F.lit("kept")))
+    s = measure.statistics(m, "name", "created_by", "annotations")
+    return s.select("mesh_id", "volume", "n_triangles", "name", "created_by", F.col("annotations")["note"].alias("note"))
+
+
+@query("SELECT s_suppkey AS mesh_id, CAST(100 AS BIGINT) AS n_triangles, TRUE AS is_watertight FROM supplier")
+def seam_weld(spark, sf_dir):
+    """A sphere cut open along its faces' sides has only seams; decimation sews them before it collapses edges."""
+    ball = generate.spheres(suppliers(spark, sf_dir), vec3(0, 0, 0), F.col("r"), 16)
+    loose = F.flatten(F.transform("triangles", lambda t: F.array(*[F.get("vertices", t[k]) for k in "abc"])))
+    faces = F.transform("triangles", lambda t, i: F.struct(*[(3 * i + d).cast("int").alias(k) for d, k in enumerate("abc")]))
+    open_ball = ball.withColumn("loose", loose).withColumn("triangles", faces).withColumn("vertices", F.col("loose")).drop("loose").withColumn("annotations", F.lit(None).cast("map<string,string>"))
+    return measured(modify.decimate(open_ball, 100), "n_triangles").select("mesh_id", "n_triangles", "is_watertight")
+
+
+def shared_folder(spark) -> str:
+    """A new folder that the driver and all executors share: the cluster's, or a local one in local mode."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: files need a folder that the driver and all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='triloom-')).rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS name, round(30e0 * (4 + s_suppkey % 5), 4) AS volume, CAST(NULL AS VARCHAR) AS first_code, 'MeshIO.FileExists' AS second_code FROM supplier UNION ALL SELECT 'missing', NULL, NULL, 'MeshIO.FileNotFound'")
+def exported_files(spark, sf_dir):
+    """Files written, refused the second time as a value, and read back; a missing file is a value too."""
+    folder = shared_folder(spark)
+    m = box(suppliers(spark, sf_dir), (0, 0, 0), (F.lit(5.0), F.lit(6.0), F.col("r"))).withColumn("name", F.col("mesh_id").cast("string")).select("mesh_id", "name", "vertices", "triangles", "error_code")
+    columns = "name string, code string"
+    first, second = (spark.createDataFrame(meshio.export_files(m, folder, "ply").select("name", "error_code").collect(), columns) for _ in range(2))
+    back = meshio.import_files(spark, folder).withColumn("mesh_id", F.col("name"))
+    read = measure.statistics(back).select(F.col("mesh_id").alias("name"), F.round("volume", 4).alias("volume"))
+    out = read.join(first.withColumnRenamed("code", "first_code"), "name").join(second.withColumnRenamed("code", "second_code"), "name")
+    gone = meshio.import_files(spark, f"{folder}/missing.stl").select("name", F.lit(None).cast("double").alias("volume"), F.lit(None).cast("string").alias("first_code"), F.col("error_code").alias("second_code"))
+    return out.select("name", "volume", "first_code", "second_code").unionByName(gone)

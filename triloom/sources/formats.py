@@ -160,7 +160,7 @@ def read_package(data: bytes, role: str | None = None) -> dict:
             t = [[int(x.get(k)) for k in ("v1", "v2", "v3")] for x in e.iter() if tag(x) == "triangle"]
             roles = {value for key, value in e.attrib.items() if key.startswith("{")}
             objects[e.get("id")] = (*_indexed(v, t), e.get("type") == "other" or (role is not None and role in roles), e.get("name"))
-    reference = next((k for k, o in objects.items() if o[2]), None)
+    reference = next((k for k, o in objects.items() if o[2]), None) if len(objects) > 1 else None  # a single object is the model, whatever its type
     model = next(k for k in objects if k != reference)
     v, t, _, name = objects[model]
     for item in root.iter():
