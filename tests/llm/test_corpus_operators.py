@@ -1,5 +1,6 @@
 """Operators of the corpus subpackage against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import hashlib
 import os
 import random
 import re
@@ -478,6 +479,47 @@ def test_pieces_equal_the_library():
             assert ids.tolist() == want and back == model.decode(want), text
 
 
+def test_encoded_rows_equal_the_library(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, "", "two  spaces", "line\nbreak é 😀", "word " * 5000, "▁ mark", "two  spaces"]
+    rows = [(i if i != 3 else None, t, "clash", 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string, ids string, n_tokens int")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"]), r["decoded"]) for r in pieces.encoded(df, path).collect())
+    want = []
+    for i, t, _, _ in rows + rows[-1:]:
+        ids = model.encode(t or "", add_bos=True, add_eos=True)
+        back = model.decode(ids)
+        want.append((i is not None, i or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), tuple(ids), back))
+    assert got == sorted(want)
+    assert pieces.encoded(df.limit(0), path).count() == 0
+    assert pieces.encoded(df, path, with_ids=False).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_stages_define_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeats, one id with two texts, clashing names and empty tables, stage by stage."""
+    rng = random.Random(19)
+    leak, plain, mail = prose(rng, 40) + " " + ITEMS[4][1], prose(rng, 60), prose(rng, 30) + " write to a.b@c.de"
+    docs = [(None, plain, None), (1, mail, "en"), (1, mail, "en"), (2, None, "en"), (3, "", None), (4, leak, "en"), (4, prose(rng, 45), "en"), (None, leak + " other", "en"), (5, prose(rng, 30_000), "en"), *[(10 + i, prose(rng, 40), "en") for i in range(30)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pii_spans string, _pii_text string, score double, h int, node long, row string"
+    df = spark.createDataFrame([(i, t, la, None, None, "own", "own", 0.5, 1, 2, "own") for i, t, la in docs], schema)
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialise(stage(spark, df, str(tmp_path)), name)
+        seen[name] = out.collect()
+        if name != "tokens":
+            assert out.columns == df.columns and all(r["pii_spans"] == r["_pii_text"] == r["row"] == "own" and r["node"] == 2 for r in seen[name])
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    some = lambda name: Counter((r["doc_id"], (r["text"] or "")[-9:]) for r in seen[name])
+    every = Counter((i, (t or "")[-9:]) for i, t, _ in docs)
+    assert some("language_id") == every - Counter([(2, ""), (3, "")])
+    assert some("near_duplicates") == every - Counter([(1, mail[-9:]), (None, (leak + " other")[-9:])])
+    assert some("decontamination") == every - Counter([(4, leak[-9:]), (None, (leak + " other")[-9:])])
+    assert len(seen["personal_data"]) == len(docs) and sum("<email>" in (r["text"] or "") for r in seen["personal_data"]) == 2
+    assert sum(r["text"] is None for r in seen["personal_data"]) == 1 and len(seen["tokens"]) == len(docs)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     base = prose(rng, 60)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scan
 
@@ -232,6 +233,6 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
 
     given = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(columns)], F.col(text_col).cast("string").alias("_text"))
     fields = given.columns[:-1]
-    schema = ", ".join([f"{f} {given.schema[f].dataType.simpleString()}" for f in fields] + [f"{c} {kind}" for c, kind in kinds.items()])
-    out = given.mapInArrow(run, schema)
+    found = T.StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    out = given.mapInArrow(run, T.StructType([given.schema[f] for f in fields] + found.fields))
     return out.select(*[F.col(f).alias(c) for f, c in zip(fields, columns, strict=True)], *kinds)

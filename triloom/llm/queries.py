@@ -24,10 +24,12 @@ def held_out(modulus: int, remainder: int):
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold: doc_id, item_id, n_windows, matched, coverage, verbatim."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted (score >= 0.7) of each document; rows with a null doc_id are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
     out = toxicity.score(docs, toxicity.fit(docs.where("not held_out"), labels), ["doc_id", "held_out"])
@@ -35,37 +37,45 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document under law ``rows``, with the size and checksum of its text, and its source."""
     out = sharding.shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
 def op4_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids begin in the written shards, how many there are, and their checksum, read back from the files."""
     return repair.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def op5_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each vector whose vec_id is divisible by 20: query_id, rank, vec_id, score."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op6_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's ids, and the digest of the text that they decode to."""
     return pieces.encoded(table(spark, sf_dir, "documents"), SENTENCE_MODEL, with_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(4, 2).alias("held_out"))
     filters = langid.fit(docs.where("not held_out"))
     return langid.identify(docs, filters, keep=["doc_id", "held_out"])
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document under three-word shingles at 85 percent, and whether it is kept."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, threshold_percent=85)
 
 
 def op9_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page's record says after archives were written and read back."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of each document's base spans, and all its spans."""
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.col(f"pii_counts.{k}").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.span_list("pii_base").cast("binary"), 256).alias("base_sha256"), pii.span_list("pii_spans").alias("spans"))

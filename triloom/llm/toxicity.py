@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scan
 from .decontaminate import _EDGE
@@ -216,5 +217,5 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shared.value.scores(part.column(part.num_columns - 1)), pa.float64())], names=[*fields, "score"])
 
-    out = given.mapInArrow(run, ", ".join([f"{f} {given.schema[f].dataType.simpleString()}" for f in fields] + ["score double"]))
+    out = given.mapInArrow(run, T.StructType([*[given.schema[f] for f in fields], T.StructField("score", T.DoubleType())]))
     return out.select(*[F.col(f).alias(c) for f, c in zip(fields, keep, strict=True)], "score")
