@@ -45,8 +45,8 @@ def smooth_creases(meshes: DataFrame, degrees: float = 30.0, cap: float = 0.25,
     return _rebuilt(meshes, lambda v, t: (M.smooth_creases(v, t, degrees, cap, iterations, strength), t))
 
 
-def smooth_edges(meshes: DataFrame, degrees: float = 30.0) -> DataFrame:
-    return _rebuilt(meshes, lambda v, t: M.smooth_edges(v, t, degrees))
+def smooth_edges(meshes: DataFrame, degrees: float = 30.0, tolerance: float = 0.0) -> DataFrame:
+    return _rebuilt(meshes, lambda v, t: M.smooth_edges(v, t, degrees, tolerance))
 
 
 def offset_smooth(meshes: DataFrame, distance: float, iterations: int = 1, cell: float = 0.0) -> DataFrame:

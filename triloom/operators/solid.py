@@ -13,11 +13,14 @@ from ..types import FACE, MESH, VEC3
 _WORDS = {"union": "Union", "subtract": "Subtract", "intersect": "Intersect"}
 
 
-def boolean(pairs: DataFrame, kind: str) -> DataFrame:
-    """Of ``vertices``/``triangles`` and ``other_vertices``/``other_triangles``; annotations and name come from the left mesh."""
+def boolean(pairs: DataFrame, kind: str, tolerance: float | None = None) -> DataFrame:
+    """Of ``vertices``/``triangles`` and ``other_vertices``/``other_triangles``; annotations and name come from the left mesh.
+
+    Corners closer than ``tolerance`` are one: by default it follows the size of both meshes.
+    """
 
     def run(r):
-        v, t = csg.boolean(kind, r["vertices"], r["triangles"], r["other_vertices"], r["other_triangles"])
+        v, t = csg.boolean(kind, r["vertices"], r["triangles"], r["other_vertices"], r["other_triangles"], tolerance=tolerance)
         return {"vertices": v, "triangles": t, "created_by": f"triloom.{kind}", "name": f"{r.get('name') or 'A'} {_WORDS[kind]} {r.get('other_name') or 'B'}"}
 
     schema = f"vertices array<{VEC3}>, triangles array<{FACE}>, name string, created_by string, error_code string"
