@@ -1,9 +1,10 @@
-"""Shortest paths on a surface: a graph search over points on edges finds the corridor, then the path is pulled straight.
+"""Shortest paths on a surface: a graph search over points on edges finds a corridor, and the path is pulled straight in it.
 
 The search graph has ``STEINER`` points on each walkable edge (shared by exactly two faces) and the vertices; within a face all
 of its points are connected. Pulling straight minimises the length over the crossing points, edge by edge in closed
-form (two faces unfolded into a plane), until nothing moves. Where the path is drawn to a vertex, the search is
-repeated around it by the vertices being nodes of the graph.
+form (two faces unfolded into a plane), until nothing moves. Where the pulled path is caught at a vertex, the corridor is led
+around the vertex on either side, and the shorter of the pulled paths goes on; this ends when no vertex gives a shorter one, so
+the result is straight in its corridor and passes vertices only where it must.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from . import space
 from .batch import Failure
 
 STEINER = 7
+ROUNDS = 256
 
 
 def shortest(v: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray, off: float | None = None) -> np.ndarray:
@@ -74,19 +76,83 @@ def shortest(v: np.ndarray, t: np.ndarray, start: np.ndarray, end: np.ndarray, o
     while route[-1] != ends[0]:
         route.append(back[route[-1]])
     route.reverse()
-    points = spot[route].copy()
+    # a crossing is an edge, or a vertex or end point that stays where it is
+    crossings = [where.get(n, n) for n in route]
+    points, length = _pulled(v, crossings, spot[route].copy(), size)
+    spokes: dict[int, list[tuple[int, int]]] = {}
+    for e in edges:
+        for x in e:
+            spokes.setdefault(x, []).append(e)
+    for _ in range(ROUNDS):
+        shorter = None
+        for i, j, w in _caught(v, crossings, points, size):
+            before = set(_faces(crossings[i - 1], edges, faces_of))
+            after = set(_faces(crossings[j + 1], edges, faces_of))
+            for fan in _fans(w, spokes.get(w, []), edges, before, after):
+                trial = [*crossings[:i], *fan, *crossings[j + 1 :]]
+                middle = np.array([v[w] + (v[a + b - w] - v[w]) * 1e-3 for a, b in fan]).reshape(-1, 3)
+                found = _pulled(v, trial, np.concatenate([points[:i], middle, points[j + 1 :]]), size)
+                if found[1] < (shorter or (None, None, length))[2] - 1e-12 * size:
+                    shorter = (trial, *found)
+        if shorter is None:
+            break
+        crossings, points, length = shorter
+    keep = [0, *[k for k in range(1, len(points)) if np.linalg.norm(points[k] - points[k - 1]) > 1e-12 * size]]
+    return points[keep]
+
+
+def _pulled(v: np.ndarray, crossings: list, points: np.ndarray, size: float) -> tuple[np.ndarray, float]:
+    """The path moved to its least length over its edges, and that length."""
     for _ in range(500):
         moved = 0.0
-        for k in range(1, len(route) - 1):
-            if route[k] in where:
-                a, b = (v[x] for x in where[route[k]])
+        for k in range(1, len(crossings) - 1):
+            if isinstance(crossings[k], tuple):
+                a, b = (v[x] for x in crossings[k])
                 new = _straight(points[k - 1], points[k + 1], a, b)
                 moved = max(moved, float(np.linalg.norm(new - points[k])))
                 points[k] = new
         if moved < 1e-12 * size:
             break
-    keep = [0, *[k for k in range(1, len(points)) if np.linalg.norm(points[k] - points[k - 1]) > 1e-12 * size]]
-    return points[keep]
+    return points, float(np.linalg.norm(np.diff(points, axis=0), axis=1).sum())
+
+
+def _caught(v: np.ndarray, crossings: list, points: np.ndarray, size: float) -> list[tuple[int, int, int]]:
+    """Runs i..j of inner crossings that lie on one vertex, and the vertex."""
+    out, k = [], 1
+    while k < len(crossings) - 1:
+        ends = crossings[k] if isinstance(crossings[k], tuple) else (crossings[k],) if crossings[k] < len(v) else ()
+        w = next((x for x in ends if np.linalg.norm(v[x] - points[k]) <= 1e-9 * size), None)
+        last = k
+        if w is not None:
+            while last + 2 < len(crossings) and np.linalg.norm(points[last + 1] - v[w]) <= 1e-9 * size:
+                last += 1
+            out.append((k, last, w))
+        k = last + 1
+    return out
+
+
+def _faces(crossing, edges: dict, faces_of: dict) -> list[int]:
+    return edges[crossing] if isinstance(crossing, tuple) else faces_of[crossing]
+
+
+def _fans(w: int, spokes: list[tuple[int, int]], edges: dict, before: set[int], after: set[int]) -> list[list[tuple[int, int]]]:
+    """The edges at w that a walk around it crosses, from a face of ``before`` to one of ``after``, both ways round."""
+    beside: dict[int, list[tuple[int, tuple[int, int]]]] = {}
+    for e in spokes:
+        f, g = edges[e]
+        beside.setdefault(f, []).append((g, e))
+        beside.setdefault(g, []).append((f, e))
+    out = []
+    for start in before & set(beside):
+        for first in beside[start]:
+            fan, came, (at, e) = [], start, first
+            while e is not None and len(fan) <= len(spokes):
+                fan.append(e)
+                if at in after:
+                    out.append(fan)
+                    break
+                came, (at, e) = at, next(((g, x) for g, x in beside[at] if x != e), (None, None))
+    return out
 
 
 def _straight(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
