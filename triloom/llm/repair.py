@@ -15,8 +15,8 @@ ends are unsigned 32-bit, ids signed 64-bit. ``part`` and ``seq`` order the shar
 
 Encoding goes through a table of distinct chunks between ASCII white space, where the tokenizer's file says that it drops
 white space and folds case (``NORMALIZER``, ``SPLITTER``); any other tokenizer encodes whole texts. Each worker empties the table
-at ``MOST`` chunks. Chunks of plain letters with a final stop or comma are given to the tokenizer's model
-directly; others, and texts with a special token's opening, to the whole tokenizer.
+at ``MOST`` chunks. Chunks of plain characters are cut into words, digits and runs of marks, which the tokenizer's model
+encodes one by one; others, and texts with a special token's opening, go to the whole tokenizer.
 
 Defined results: a null text is empty and has the end id only; repeated rows follow each other, ordered by a hash of the
 text; a null id sorts first. An empty table has no shard. Only the named columns are read.
@@ -24,7 +24,9 @@ text; a null id sorts first. An empty table has no shard. Only the named columns
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -47,6 +49,8 @@ SLICE_BYTES = 6_000_000
 
 _SHARD = "part int, seq int, tokens long, base int, width int, rules binary, lengths binary, symbols binary, doc_ids binary, ends binary, null_ids binary"
 _WORD = "^[a-zß-öø-ÿ]+$"
+#: Printable characters without the apostrophe, which opens contractions; they fall into words, digits and runs of marks.
+_EASY, _PIECES = "^[!-&(-~ß-öø-ÿ]+$", re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 
 # The steps of a tokenizer file under which chunks between white space can be encoded alone, in lower case.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -58,6 +62,8 @@ SPLITTER = {
     ],
 }
 
+_MIXED = ["ab.", "é,", "a1b22", "x-y_z", "(word)", "\"quoted\"", "3.14%", "a.b@c.de", "###", "--a--", "über/straße?!", "1,000", "$5", "[x]{y}", "a=b;c:d"]
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from 256 on."""
@@ -89,9 +95,12 @@ class Encoder:
     def _simple(self) -> bool:
         """Whether plain words may go to the model directly: held against the whole tokenizer on each letter and pair of letters."""
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
-        probe = letters + [a + b for a in letters for b in letters] + ["straße", "façade", "thisisalongword"]
+        marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]
+        probe = letters + [a + b for a in letters for b in letters] + [a + b for a in marks for b in ["", *marks, "..."]] + [*"0123456789", "straße", "façade", "thisisalongword"]
         try:
-            return self._library(probe) == [self._word(w) for w in probe] and self._library(["ab.", "é,"]) == [self._word("ab") + self._library(["."])[0], self._word("é") + self._library([","])[0]]
+            return self._library(probe) == [self._word(w) for w in probe] and all(
+                ids == [x for piece in _PIECES(chunk) for x in self._word(piece)] for chunk, ids in zip(_MIXED, self._library(_MIXED), strict=True)
+            )
         except Exception:  # a model without such words: the tokenizer itself serves
             return False
 
@@ -121,7 +130,16 @@ class Encoder:
             if ids is None:
                 ids = known[word] = [t.id for t in tokens(word if word.isascii() else word.encode().decode("latin-1").translate(letters))]
             coded[k] = ids + end[chunks[k][-1]] if has_mark else ids
-        odd = np.flatnonzero(~plain).tolist()
+        easy = ~plain & np.asarray(pc.match_substring_regex(given, _EASY)) if self.simple else plain
+        for k in np.flatnonzero(easy).tolist():
+            out: list[int] = []
+            for piece in _PIECES(chunks[k]):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = self._word(piece)
+                out += ids
+            coded[k] = out
+        odd = np.flatnonzero(~plain & ~easy).tolist()
         for k, ids in zip(odd, self._library([chunks[k] for k in odd]), strict=True):
             coded[k] = ids
         at, sizes = len(self.table), np.fromiter(map(len, coded), np.int64, len(coded))
@@ -149,12 +167,16 @@ class Encoder:
         split = pc.ascii_split_whitespace(lower)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [c for c in distinct if c not in self.table]
-        if len(self.table) + len(new) > self.most and self.table:
+        found = list(map(self.table.get, distinct))
+        unknown = [k for k, f in enumerate(found) if f is None]
+        if len(self.table) + len(unknown) > self.most and self.table:
             self._clear()
-            new = distinct
-        self._learn(new)
-        entry = np.fromiter(map(self.table.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            unknown = range(len(distinct))
+        at = len(self.table)
+        self._learn([distinct[k] for k in unknown])
+        for n, k in enumerate(unknown, at):
+            found[k] = n
+        entry = np.array(found, np.int64)[coded.indices.to_numpy()]
         sizes = self.size[entry]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
         ids = self.ids[scan.ragged(self.start[entry], sizes)]
@@ -170,7 +192,7 @@ class Encoder:
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and which of them each is."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     fresh = np.ones(len(ranked), bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
@@ -188,7 +210,9 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
     skipped by links to the next and the last symbol. It ends when no pair occurs ``least`` times, or no id is left.
     """
     n = len(ids)
-    seq = ids.astype(np.int64)
+    # a pair is one number: of 32 bits where symbols have 16
+    kind, half, odd_factor = (np.uint32, 16, 0x9E3779B1) if base < 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+    seq = ids.astype(kind)
     last = np.zeros(n, bool)
     last[bounds[1:] - 1] = True
     after, before, alive = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32), np.ones(n, bool)
@@ -196,10 +220,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
     rules, lengths = [], np.zeros(0, np.int64)
     room = (1 << 16) - base if base < 1 << 16 else 1 << 20
 
+    def key_of(at: np.ndarray) -> np.ndarray:
+        return (seq[at] << kind(half)) | seq[after[at]]
+
     def wait(at: np.ndarray) -> None:
-        key = (seq[at] << 32) | seq[after[at]]
         slots = min(20, max(10, int(len(at)).bit_length()))
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slots)).astype(np.int32)
+        slot = ((key_of(at) * kind(odd_factor)) >> kind(2 * half - slots)).astype(np.int32)
         held = np.bincount(slot, minlength=1 << slots)
         file(at, np.where(held >= least, np.frexp(held)[1], 0).astype(np.int8)[slot])
 
@@ -216,7 +242,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         if not len(at):
             continue
-        pairs, which = _grouped((seq[at] << 32) | seq[after[at]])
+        pairs, which = _grouped(key_of(at))
         # in a run of one symbol every other occurrence counts
         odd = np.zeros(len(at), bool)
         follows = np.flatnonzero((after[at[:-1]] == at[1:]) & (which[1:] == which[:-1])) + 1
@@ -249,14 +275,14 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         number[worth] = base + len(lengths) + np.arange(len(worth))
         taken = ~lose & (number[which] >= 0)
         place = at[taken]
-        left, right = pairs[worth] >> 32, pairs[worth] & 0xFFFFFFFF
+        left, right = (x.astype(np.int64) for x in (pairs[worth] >> kind(half), pairs[worth] & kind((1 << half) - 1)))
         known = np.concatenate([lengths, [1]])
         grown = sum(known[np.where(x >= base, x - base, len(lengths))] for x in (left, right))
         rules.append(np.stack([left, right], axis=1))
         lengths = np.concatenate([lengths, grown])
         room -= len(worth)
         gone = after[place]
-        seq[place], last[place], alive[gone] = number[which[taken]], last[gone], False
+        seq[place], last[place], alive[gone] = number[which[taken]].astype(kind), last[gone], False
         after[place] = after[gone]
         inner = after[place] < n
         before[after[place][inner]] = place[inner]
@@ -264,7 +290,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
         touched = np.sort(np.concatenate([at[~taken], place, back[back >= 0]]))
         touched = touched[np.concatenate([[True], touched[1:] != touched[:-1]])]
         wait(touched[alive[touched] & ~last[touched]])
-    return seq[alive], np.flatnonzero(last[alive]) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
+    return seq[alive].astype(np.int64), np.flatnonzero(last[alive]) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,6 +386,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     def run(batches):
         from pyspark import TaskContext
 
+        gc.disable()  # tables of small lists without cycles: collections would only walk over them
         coder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         base = coder.tokenizer.get_vocab_size()
         names, ids, sizes, held = [], [], [], 0
