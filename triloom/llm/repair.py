@@ -231,8 +231,13 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
 
     def file(at: np.ndarray, to: np.ndarray) -> None:
         level[at] = to
-        for k in np.flatnonzero(np.bincount(to, minlength=1)[1:]) + 1:
-            waiting[k].append(at[to == k])
+        some = to > 0
+        at, to = at[some], to[some]
+        order = np.argsort(to, kind="stable")
+        ends = np.cumsum(np.bincount(to, minlength=1))
+        for k in range(1, len(ends)):
+            if ends[k] > ends[k - 1]:
+                waiting[k].append(at[order[ends[k - 1] : ends[k]]])
 
     wait(np.flatnonzero(~last).astype(np.int32))
     while waiting and room > 0:
