@@ -93,3 +93,13 @@ def test_failures_are_values(spark):
     df = spark.createDataFrame([(1, 1.0), (2, -1.0), (3, float("nan"))], "mesh_id long, r double")
     got = {r["mesh_id"]: r["error_code"] for r in measure.statistics(generate.cylinders(df, vec3(0, 0, 0), F.col("r"), F.lit(1.0))).collect()}
     assert got == {1: None, 2: "Generators.NonPositiveRadius", 3: "Generators.NonFiniteParameter"}
+
+
+def test_unreferenced_vertices_need_no_join(spark):
+    """Empty meshes, and meshes without faces or vertices, keep their answers; nothing is exploded into a join that could be broadcast."""
+    kinds = "mesh_id long, vertices array<struct<x:double,y:double,z:double>>, triangles array<struct<a:int,b:int,c:int>>"
+    p = (0.0, 0.0, 0.0)
+    df = spark.createDataFrame([(1, [p] * 5, [(0, 1, 2), (1, 2, 4)]), (2, [p] * 2, []), (3, [], []), (4, None, None), (5, [p] * 2, None)], kinds)
+    found = measure.unreferenced(df)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 0), (2, 1), (5, 0), (5, 1)]

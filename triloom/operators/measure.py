@@ -82,12 +82,11 @@ def edge_audit(meshes: DataFrame) -> DataFrame:
 
 
 def unreferenced(meshes: DataFrame) -> DataFrame:
-    """(mesh_id, vid) of vertices that no face uses: an anti-join of the exploded tables."""
-    from ..types import to_tables
-
-    v, t = to_tables(meshes)
-    used = t.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid"))
-    return v.join(used, ["mesh_id", "vid"], "left_anti").select("mesh_id", "vid")
+    """(mesh_id, vid) of vertices that no face uses, found inside the row: a join of the exploded tables would broadcast the larger one,
+    as Spark does not see how many rows an explode makes."""
+    used = F.flatten(F.transform(F.coalesce("triangles", F.array().cast(f"array<{FACE}>")), lambda t: F.array(t["a"], t["b"], t["c"])))
+    every = F.when(F.size("vertices") > 0, F.sequence(F.lit(0), F.size("vertices") - 1)).otherwise(F.array().cast("array<int>"))
+    return meshes.select("mesh_id", F.explode(F.array_except(every, used)).alias("vid"))
 
 
 def vertex_normals(meshes: DataFrame) -> DataFrame:
