@@ -103,3 +103,9 @@ def test_unreferenced_vertices_need_no_join(spark):
     found = measure.unreferenced(df)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 0), (2, 1), (5, 0), (5, 1)]
+
+
+@pytest.mark.parametrize("name", ["overlapping_faces"])
+def test_meshes_are_not_broadcast(spark, name):
+    plan = workload.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan

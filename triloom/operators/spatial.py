@@ -135,7 +135,8 @@ def overlapping_faces(meshes: DataFrame, cell: float) -> DataFrame:
     cells = boxes
     for k in "xyz":
         cells = cells.withColumn(f"c{k}", span(k))
-    a, b = cells.alias("a"), cells.alias("b")
+    # dealt by cell: Spark does not see how many rows the explodes make, and would broadcast them all for a small file
+    a, b = cells.hint("merge").alias("a"), cells.alias("b")
     joined = a.join(b, ["mesh_id", "cx", "cy", "cz"]).where("a.tid < b.tid")
     for k in "xyz":
         first = F.floor(F.greatest(F.col(f"a.low.{k}"), F.col(f"b.low.{k}")) / cell)
