@@ -105,7 +105,7 @@ def test_unreferenced_vertices_need_no_join(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 0), (2, 1), (5, 0), (5, 1)]
 
 
-@pytest.mark.parametrize("name", ["overlapping_faces", "closest_points"])
+@pytest.mark.parametrize("name", ["overlapping_faces", "closest_points", "raycast", "signed_distances"])
 def test_meshes_are_not_broadcast(spark, name):
     plan = workload.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
