@@ -89,6 +89,11 @@ def _columns(arrays: list, kind: T.DataType) -> pa.Array:
         struct = pa.StructArray.from_arrays(fields, fields=list(arrow.value_type))
         offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), struct, type=arrow)
+    if isinstance(inner, T.StructType) and all(isinstance(d, dict) for a in arrays if a is not None for d in a):
+        flat = [d for a in arrays if a is not None for d in a]
+        struct = pa.StructArray.from_arrays([_columns([d.get(f.name) for d in flat], f.dataType) for f in inner.fields], fields=list(arrow.value_type))
+        offsets = np.concatenate([[0], np.cumsum([0 if a is None else len(a) for a in arrays])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), struct, type=arrow, mask=pa.array([a is None for a in arrays], pa.bool_()))
     return pa.array([encode(a, kind) for a in arrays], arrow)
 
 
@@ -113,12 +118,34 @@ def _read(column: pa.Array, kind: T.DataType) -> list:
         values, at = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
         if not values.null_count:
             flat = np.stack([values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)], axis=1) if len(values) else np.zeros((0, values.type.num_fields))
-            return [flat[a:b].astype(np.int64 if inner.fieldNames() == ["a", "b", "c"] else np.float64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            flat = flat.astype(np.int64 if inner.fieldNames() == ["a", "b", "c"] else np.float64)
+            return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    elif isinstance(inner, T.StructType) and not column.null_count:
+        values, at = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        if not values.null_count:
+            names, fields = inner.fieldNames(), [_read(values.field(k), f.dataType) for k, f in enumerate(inner.fields)]
+            flat = [dict(zip(names, x, strict=True)) for x in zip(*fields, strict=True)]
+            return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return [decode(v, kind) for v in column.to_pylist()]
 
 
 def per_row(df: DataFrame, inputs: list[str], fn, outputs: str, replace: bool = False, whole_row: bool = False, needs: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``inputs`` (kept unless ``replace``) and with the kernel's outputs; ``needs`` names meshes that must have a triangle."""
+
+    def each(rows):
+        made = []
+        for row in rows:
+            try:
+                made.append(fn(row))
+            except Failure as failure:
+                made.append(failure)
+        return made
+
+    return per_batch(df, inputs, each, outputs, replace, whole_row, needs)
+
+
+def per_batch(df: DataFrame, inputs: list[str], fn, outputs: str, replace: bool = False, whole_row: bool = False, needs: tuple[str, ...] = ()) -> DataFrame:
+    """As ``per_row`` with a kernel that gets a list of rows and returns a list of their outputs or ``Failure`` objects."""
     out = T.StructType.fromDDL(outputs)
     has_error = "error_code" in out.fieldNames()
     full = out if has_error else T.StructType([*out.fields, T.StructField("error_code", T.StringType())])
@@ -129,18 +156,19 @@ def per_row(df: DataFrame, inputs: list[str], fn, outputs: str, replace: bool =
         for batch in batches:
             names = [f.name for f in order.fields] if whole_row else [*inputs, *[n for n in ("error_code",) if n in order.fieldNames() and n not in inputs]]
             values = {n: _read(batch.column(order.fieldNames().index(n)), order[n].dataType) for n in names}
-            made: list[dict] = []
+            made: list[dict] = [{}] * batch.num_rows
+            sound, rows = [], []
             for k in range(batch.num_rows):
                 row = {n: v[k] for n, v in values.items()}
-                try:
-                    if row.get("error_code"):
-                        raise Failure(row["error_code"])
-                    for prefix in needs:
-                        if row.get(prefix) is None or not len(row[prefix]):
-                            raise Failure(EMPTY)
-                    made.append(fn(row))
-                except Failure as failure:
-                    made.append({"error_code": failure.code})
+                if row.get("error_code"):
+                    made[k] = {"error_code": row["error_code"]}
+                elif any(row.get(prefix) is None or not len(row[prefix]) for prefix in needs):
+                    made[k] = {"error_code": EMPTY}
+                else:
+                    sound.append(k)
+                    rows.append(row)
+            for k, found in zip(sound, fn(rows) if rows else [], strict=True):
+                made[k] = {"error_code": found.code} if isinstance(found, Failure) else found
             arrays = [batch.column(order.fieldNames().index(f.name)) for f in kept]
             arrays += [_columns([m.get(f.name) for m in made], f.dataType) for f in full.fields]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())

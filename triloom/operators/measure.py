@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..kernels import many, space
 from ..kernels import mesh as M
-from ..kernels import space
-from ..kernels.batch import per_row
+from ..kernels.batch import per_batch, per_row
 from ..types import EMPTY, FACE, VEC3, soup
 
 COUNTERS = ("edges", "boundary_edges", "non_manifold_edges", "winding_errors", "degenerate_triangles", "duplicate_faces", "duplicate_vertices", "shells", "unreferenced_vertices")
@@ -57,17 +57,18 @@ def with_predicates(audit: DataFrame) -> DataFrame:
 def topology(meshes: DataFrame, tolerance: float = M.WELD) -> DataFrame:
     """The nine counters of each mesh; small meshes are audited a batch at a time by one set of NumPy calls."""
     schema = "mesh_id long, " + ", ".join(f"{k} long" for k in COUNTERS) + ", error_code string"
-    found = per_row(meshes.select("mesh_id", "vertices", "triangles", "error_code"), ["vertices", "triangles"], lambda r: M.topology(r["vertices"], r["triangles"], tolerance), ", ".join(f"{k} long" for k in COUNTERS) + ", error_code string", replace=True, needs=("triangles",))
+    found = per_batch(meshes.select("mesh_id", "vertices", "triangles", "error_code"), ["vertices", "triangles"], lambda rows: many.topologies([(r["vertices"], r["triangles"]) for r in rows], tolerance), ", ".join(f"{k} long" for k in COUNTERS) + ", error_code string", replace=True, needs=("triangles",))
     return found.select(*[x.split()[0] for x in schema.split(", ")])
 
 
 def with_topology(meshes: DataFrame, tolerance: float = M.WELD) -> DataFrame:
     """``meshes`` with the nine counters beside their geometry, so that more can be measured in the same pass; NULL for empty ones."""
 
-    def run(r):
-        return M.topology(r["vertices"], r["triangles"], tolerance) if len(r["triangles"]) else {}
+    def run(rows):
+        found = iter(many.topologies([(r["vertices"], r["triangles"]) for r in rows if len(r["triangles"])], tolerance))
+        return [next(found) if len(r["triangles"]) else {} for r in rows]
 
-    return per_row(meshes, ["vertices", "triangles"], run, ", ".join(f"{k} long" for k in COUNTERS) + ", error_code string")
+    return per_batch(meshes, ["vertices", "triangles"], run, ", ".join(f"{k} long" for k in COUNTERS) + ", error_code string")
 
 
 def edge_table(meshes: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import csg
-from ..kernels.batch import Failure, as_array, per_row
+from ..kernels import many
+from ..kernels.batch import Failure, per_batch
 from ..types import FACE, MESH, VEC3
 
 _WORDS = {"union": "Union", "subtract": "Subtract", "intersect": "Intersect"}
@@ -19,12 +18,13 @@ def boolean(pairs: DataFrame, kind: str, tolerance: float | None = None) -> Data
     Corners closer than ``tolerance`` are one: by default it follows the size of both meshes.
     """
 
-    def run(r):
-        v, t = csg.boolean(kind, r["vertices"], r["triangles"], r["other_vertices"], r["other_triangles"], tolerance=tolerance)
-        return {"vertices": v, "triangles": t, "created_by": f"triloom.{kind}", "name": f"{r.get('name') or 'A'} {_WORDS[kind]} {r.get('other_name') or 'B'}"}
+    def run(rows):
+        found = many.booleans(kind, [(r["vertices"], r["triangles"], r["other_vertices"], r["other_triangles"]) for r in rows], tolerance)
+        made = lambda r, m: {"vertices": m[0], "triangles": m[1], "created_by": f"triloom.{kind}", "name": f"{r.get('name') or 'A'} {_WORDS[kind]} {r.get('other_name') or 'B'}"}
+        return [m if isinstance(m, Failure) else made(r, m) for r, m in zip(rows, found, strict=True)]
 
     schema = f"vertices array<{VEC3}>, triangles array<{FACE}>, name string, created_by string, error_code string"
-    return per_row(pairs, ["vertices", "triangles", "other_vertices", "other_triangles", "other_name"] if "other_name" in pairs.columns else ["vertices", "triangles", "other_vertices", "other_triangles"], run, schema, replace=True, needs=("triangles", "other_triangles"))
+    return per_batch(pairs, ["vertices", "triangles", "other_vertices", "other_triangles", "other_name"] if "other_name" in pairs.columns else ["vertices", "triangles", "other_vertices", "other_triangles"], run, schema, replace=True, needs=("triangles", "other_triangles"))
 
 
 def batch(meshes: DataFrame, kind: str) -> DataFrame:
@@ -34,24 +34,24 @@ def batch(meshes: DataFrame, kind: str) -> DataFrame:
     """
     packed = meshes.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ord", "vertices", "triangles"))).alias("operands"))
 
-    def run(r):
-        parts = [(as_array(o["vertices"], "xyz") if not isinstance(o["vertices"], np.ndarray) else o["vertices"], o["triangles"] if isinstance(o["triangles"], np.ndarray) else as_array(o["triangles"], "abc", np.int64)) for o in r["operands"]]
-        if any(not len(t) for _, t in parts):
-            raise Failure("Mesh.EmptyOperand")
-        v, t = (csg.union_all if kind == "union" else csg.subtract_all)(parts)
-        return {"vertices": v, "triangles": t, "name": f"Batch {kind}", "created_by": f"triloom.{kind}"}
+    def run(rows):
+        groups = [[(o["vertices"], o["triangles"]) for o in r["operands"]] for r in rows]
+        sound = [all(len(t) for _, t in g) for g in groups]
+        found = iter((many.unions if kind == "union" else many.differences)([g for g, ok in zip(groups, sound, strict=True) if ok]))
+        out = [next(found) if ok else Failure("Mesh.EmptyOperand") for ok in sound]
+        return [m if isinstance(m, Failure) else {"vertices": m[0], "triangles": m[1], "name": f"Batch {kind}", "created_by": f"triloom.{kind}"} for m in out]
 
-    return per_row(packed, ["operands"], run, MESH, replace=True)
+    return per_batch(packed, ["operands"], run, MESH, replace=True)
 
 
 def split(meshes: DataFrame) -> DataFrame:
     """By the plane ``normal`` . p = ``offset`` of each row: one row a ``side`` (front, back), capped."""
 
-    def run(r):
-        front, back = csg.split(r["vertices"], r["triangles"], r["normal"], r["offset"])
-        return {"halves": [{"side": s, "vertices": v, "triangles": t} for s, (v, t) in (("front", front), ("back", back))]}
+    def run(rows):
+        found = many.halves([(r["vertices"], r["triangles"], r["normal"], r["offset"]) for r in rows])
+        return [x if isinstance(x, Failure) else {"halves": [{"side": s, "vertices": v, "triangles": t} for s, (v, t) in zip(("front", "back"), x, strict=True)]} for x in found]
 
-    found = per_row(meshes, ["vertices", "triangles", "normal", "offset"], run, f"halves array<struct<side:string,vertices:array<{VEC3}>,triangles:array<{FACE}>>>, error_code string", replace=True, needs=("triangles",))
+    found = per_batch(meshes, ["vertices", "triangles", "normal", "offset"], run, f"halves array<struct<side:string,vertices:array<{VEC3}>,triangles:array<{FACE}>>>, error_code string", replace=True, needs=("triangles",))
     kept = [c for c in found.columns if c != "halves"]
     return found.select(*kept, F.explode_outer("halves").alias("h")).select(*kept, "h.*")
 
