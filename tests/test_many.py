@@ -86,3 +86,14 @@ def test_topologies_equal_single_ones():
     meshes = [p[:2] for p in pairs()] + [csg.boolean("union", *p) for p in pairs()[:30]]
     meshes += [(np.concatenate([v, v[:2] + 5e-10, [[9, 9, 9]]]), np.concatenate([t[1:], t[3:4], t[4:5, ::-1], [[0, 0, 1]], rng.integers(0, len(v) + 2, (3, 3))])) for v, t in meshes[:50]]
     assert many.topologies(meshes, 1e-9) == [M.topology(*m, 1e-9) for m in meshes]
+
+
+def _together(monkeypatch):
+    monkeypatch.setattr(csg, "boolean", lambda *_, **__: pytest.fail("one mesh at a time"))
+
+
+def test_many_subtractions_are_made_together(monkeypatch):
+    given = pairs()[:60]
+    want = [csg.boolean("subtract", *p) for p in given]
+    _together(monkeypatch)
+    assert all(same(a, b, sized(p)) for a, b, p in zip(many.booleans("subtract", given), want, given, strict=True))
