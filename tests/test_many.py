@@ -97,3 +97,10 @@ def test_many_subtractions_are_made_together(monkeypatch):
     want = [csg.boolean("subtract", *p) for p in given]
     _together(monkeypatch)
     assert all(same(a, b, sized(p)) for a, b, p in zip(many.booleans("subtract", given), want, given, strict=True))
+
+
+def test_many_intersections_are_made_together(monkeypatch):
+    given = pairs()[:60]
+    want = [csg.boolean("intersect", *p) for p in given]
+    _together(monkeypatch)
+    assert all(same(a, b, sized(p)) for a, b, p in zip(many.booleans("intersect", given), want, given, strict=True))
