@@ -104,3 +104,20 @@ def test_many_intersections_are_made_together(monkeypatch):
     want = [csg.boolean("intersect", *p) for p in given]
     _together(monkeypatch)
     assert all(same(a, b, sized(p)) for a, b, p in zip(many.booleans("intersect", given), want, given, strict=True))
+
+
+def groups():
+    """Groups of one to five boxes, some of which miss all others."""
+    rng = np.random.default_rng(11)
+    return [[box(rng.integers(0, 5, 3) / 2 + (k == 3) * 50, rng.integers(1, 6, 3) / 2) for k in range(1 + n % 5)] for n in range(60)]
+
+
+def total(group):
+    return sum(M.volume(*m) for m in group)
+
+
+def test_unions_of_groups_are_made_together(monkeypatch):
+    given = groups()
+    want = [csg.union_all(g) for g in given]
+    _together(monkeypatch)
+    assert all(same(a, b, total(g)) for a, b, g in zip(many.unions(given), want, given, strict=True))
