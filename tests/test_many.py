@@ -121,3 +121,12 @@ def test_unions_of_groups_are_made_together(monkeypatch):
     want = [csg.union_all(g) for g in given]
     _together(monkeypatch)
     assert all(same(a, b, total(g)) for a, b, g in zip(many.unions(given), want, given, strict=True))
+
+
+def test_differences_of_groups_are_made_together(monkeypatch):
+    """Also where nothing is left after a step."""
+    given = groups() + [[box((0, 0, 0), (1, 1, 1)), box((-1, -1, -1), (3, 3, 3)), box((0, 0, 0), (1, 1, 1))]]
+    want = [csg.subtract_all(g) for g in given]
+    _together(monkeypatch)
+    got = many.differences(given)
+    assert all(same(a, b, total(g)) for a, b, g in zip(got, want, given, strict=True)) and not len(got[-1][1])
