@@ -130,3 +130,13 @@ def test_differences_of_groups_are_made_together(monkeypatch):
     _together(monkeypatch)
     got = many.differences(given)
     assert all(same(a, b, total(g)) for a, b, g in zip(got, want, given, strict=True)) and not len(got[-1][1])
+
+
+def test_drilled_plates_are_made_together(monkeypatch):
+    """Holes are bridged and the flat sides have the fewest faces there are; plates with many holes are clipped one by one."""
+    holes = [box((-17 + 4.5 * k, -11 + 3 * (k % 4), -1), (2, 2, 4)) for k in range(8)]
+    given = [[box((-20, -20, 0), (40, 40, 2)), *holes[: 1 + n % 8]] for n in range(16)]
+    _together(monkeypatch)
+    for n, (v, t) in enumerate(many.differences(given)):
+        k = 1 + n % 8
+        assert M.volume(v, t) == pytest.approx(3200 - 8 * k) and len(t) == 12 + 20 * k and M.topology(v, t)["boundary_edges"] == 0
