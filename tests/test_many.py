@@ -140,3 +140,16 @@ def test_drilled_plates_are_made_together(monkeypatch):
     for n, (v, t) in enumerate(many.differences(given)):
         k = 1 + n % 8
         assert M.volume(v, t) == pytest.approx(3200 - 8 * k) and len(t) == 12 + 20 * k and M.topology(v, t)["boundary_edges"] == 0
+
+
+def test_splits_are_made_together(monkeypatch):
+    given = [(*p[:2], np.array([0.3, k % 3, 1.0]), 0.1 * k) for k, p in enumerate(pairs()[:110])] + [(*BOX_AT, np.zeros(3), 0.5)]
+    want = [csg.split(*p) for p in given[:-1]]
+    _together(monkeypatch)
+    got = many.halves(given)
+    assert isinstance(got[-1], Failure) and got[-1].code == "Transforms.NonFinite"
+    for p, a, b in zip(given, got, want, strict=False):
+        assert all(same(x, y, abs(M.volume(*p[:2]))) for x, y in zip(a, b, strict=True))
+
+
+BOX_AT = box((0, 0, 0), (1, 1, 1))
