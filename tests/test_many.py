@@ -6,6 +6,7 @@ import pytest
 from triloom.kernels import csg, many
 from triloom.kernels import mesh as M
 from triloom.kernels.batch import Failure
+from triloom.operators import modify
 from triloom.operators.generate import BOX_QUADS
 
 BOX = np.array([f for a, b, c, d in BOX_QUADS for f in ((a, b, c), (a, c, d))])
@@ -153,3 +154,15 @@ def test_splits_are_made_together(monkeypatch):
 
 
 BOX_AT = box((0, 0, 0), (1, 1, 1))
+
+
+def test_shells_of_many_are_found_and_united_together(spark):
+    given = [g for g in groups() if len(g) > 1]
+    piles = [(np.concatenate([v for v, _ in g]), np.concatenate([t + 8 * k for k, (_, t) in enumerate(g)])) for g in given]
+    parts, single = many.components(piles), [M.components(*p) for p in piles]
+    assert all(len(a) == len(b) and all(np.array_equal(x, y) for m, n in zip(a, b, strict=True) for x, y in zip(m, n, strict=True)) for a, b in zip(parts, single, strict=True))
+    rows = [(k, [tuple(map(float, p)) for p in v], [tuple(map(int, f)) for f in t], None) for k, (v, t) in enumerate(piles)]
+    df = spark.createDataFrame(rows, "mesh_id long, vertices array<struct<x:double,y:double,z:double>>, triangles array<struct<a:int,b:int,c:int>>, error_code string")
+    for r in modify.repair_self_intersections(df).collect():
+        v, t = np.array(r["vertices"]), np.array(r["triangles"])
+        assert same((v, t), csg.union_all(single[r["mesh_id"]]), total(given[r["mesh_id"]]))

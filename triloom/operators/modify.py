@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..kernels import csg, field
+from ..kernels import csg, field, many
 from ..kernels import mesh as M
-from ..kernels.batch import Failure, per_row
+from ..kernels.batch import Failure, per_batch, per_row
 from ..types import FACE, VEC3
 
 _GEOMETRY = f"vertices array<{VEC3}>, triangles array<{FACE}>, error_code string"
@@ -26,15 +26,28 @@ def repair(meshes: DataFrame) -> DataFrame:
 
 def repair_self_intersections(meshes: DataFrame) -> DataFrame:
     """Shells are united; a mesh that the kernel refuses comes back unchanged."""
+    refused = (Failure, ValueError, ZeroDivisionError)
 
-    def run(v, t):
+    def each(v, t):
         try:
             parts = M.components(v, t)
             return csg.union_all(parts) if len(parts) > 1 else (v, t)
-        except (Failure, ValueError, ZeroDivisionError):
+        except refused:
             return v, t
 
-    return _rebuilt(meshes, run)
+    def run(rows):
+        meshes = [(r["vertices"], r["triangles"]) for r in rows]
+        try:
+            parts = many.components(meshes)
+            several = [k for k, p in enumerate(parts) if len(p) > 1]
+            found = many.unions([parts[k] for k in several])
+            for k, m in zip(several, found, strict=True):
+                meshes[k] = meshes[k] if isinstance(m, Failure) else m
+        except refused:  # one of the batch: each for itself
+            meshes = [each(*m) for m in meshes]
+        return [{"vertices": v, "triangles": t} for v, t in meshes]
+
+    return per_batch(meshes, ["vertices", "triangles"], run, _GEOMETRY, replace=True, needs=("triangles",))
 
 
 def laplacian(meshes: DataFrame, iterations: int = 5, strength: float = 0.5) -> DataFrame:
