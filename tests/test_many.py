@@ -166,3 +166,27 @@ def test_shells_of_many_are_found_and_united_together(spark):
     for r in modify.repair_self_intersections(df).collect():
         v, t = np.array(r["vertices"]), np.array(r["triangles"])
         assert same((v, t), csg.union_all(single[r["mesh_id"]]), total(given[r["mesh_id"]]))
+
+
+@pytest.mark.parametrize("depth", [None, 0.7])
+def test_peaks_of_many_equal_single_ones(depth):
+    """Plateaus, several peaks a part, parts beside and over each other, doubled vertices, a slanted direction."""
+    rng = np.random.default_rng(7)
+    piles = [(np.concatenate([v for v, _ in g]), np.concatenate([t + 8 * k for k, (_, t) in enumerate(g)])) for g in groups()]
+    made = [csg.union_all(g) for g in groups()[:20]] + [p[:2] for p in pairs()[60:110]]
+    soups = [(v[t].reshape(-1, 3), np.arange(3 * len(t)).reshape(-1, 3)) for v, t in made[:10]]
+    rough = [(v + rng.normal(0, 0.2, v.shape), t) for v, t in [ball(10, 1.0, np.zeros(3))] * 10]
+    meshes = piles + made + soups + rough
+    for up in (np.array([0, 0, 1.0]), np.array([1.0, -2.0, 0.5])):
+        for m, got in zip(meshes, many.peaks(meshes, up, 1e-6, depth), strict=True):
+            want = many._single_peaks(*m, up, 1e-6, depth)
+            assert got.size == want.size and np.array_equal(got.columns["vid"], want.columns["vid"])
+            for name in ("point", "normal", "height", "prominence", "summit"):
+                np.testing.assert_allclose(got.columns[name], want.columns[name], atol=1e-9)
+            assert depth is None or np.array_equal(got.columns["within_reach"], want.columns["within_reach"])
+
+
+def test_peaks_of_many_are_not_found_one_by_one(monkeypatch):
+    monkeypatch.setattr(M, "peaks", lambda *_: pytest.fail("one mesh at a time"))
+    found = many.peaks([box((k, 0, 0), (1, 1, 1 + k)) for k in range(50)], np.array([0, 0, 1.0]), 1e-6, None)
+    assert [float(r.columns["height"][0]) for r in found] == list(range(1, 51))

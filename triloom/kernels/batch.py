@@ -23,9 +23,9 @@ class Failure(Exception):
 
 
 class Rows:
-    """An array of structs as a kernel makes it: one NumPy array a field, and which entries are not null."""
+    """An array of structs as a kernel makes it: one NumPy array a field (or None: null), and which entries are not null."""
 
-    def __init__(self, columns: dict[str, np.ndarray], valid: np.ndarray | None = None):
+    def __init__(self, columns: dict[str, np.ndarray | None], valid: np.ndarray | None = None):
         self.columns, self.size = columns, len(next(iter(columns.values())))
         self.valid = np.ones(self.size, bool) if valid is None else valid
 
@@ -101,10 +101,12 @@ def _structs(arrays: list[Rows | None], inner: T.StructType, arrow: pa.DataType)
     some = [a for a in arrays if a is not None]
 
     def column(name: str, kind: T.DataType, arrow_kind: pa.DataType) -> pa.Array:
+        if some[0].columns[name] is None:
+            return pa.nulls(sum(a.size for a in some), arrow_kind)
         flat = np.concatenate([a.columns[name] for a in some])
         if isinstance(kind, T.StructType):
             return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(len(kind.fields))], fields=list(arrow_kind))
-        return pa.array(flat.astype(np.float64 if isinstance(kind, T.DoubleType) else np.int32))
+        return pa.array(flat.astype(np.float64 if isinstance(kind, T.DoubleType) else np.int64 if isinstance(kind, T.LongType) else np.int32))
 
     fields = [column(f.name, f.dataType, arrow.value_type.field(f.name).type) for f in inner.fields]
     values = pa.StructArray.from_arrays(fields, fields=list(arrow.value_type), mask=pa.array(~np.concatenate([a.valid for a in some])))

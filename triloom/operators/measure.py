@@ -126,14 +126,9 @@ def peaks(meshes: DataFrame, up: tuple[float, float, float] = (0, 0, 1), depth:
     """One row a peak: peak, vid, point, normal, height, prominence, summit and, with ``depth``, how many vertices lie within reach."""
     axis = np.array(up, float)
 
-    def run(r):
-        v, t = r["vertices"], r["triangles"]
-        found = M.peaks(v, t, axis)
-        for k, p in enumerate(found):
-            p["peak"], p["summit"] = k, M.summit(v, t, axis, p["vid"], tolerance)
-            p["within_reach"] = None if depth is None else int(M.reach(v, t, axis, p["vid"], depth).sum())
-        return {"peaks": found}
+    def run(rows):
+        return [{"peaks": p} for p in many.peaks([(r["vertices"], r["triangles"]) for r in rows], axis, tolerance, depth)]
 
     schema = f"peaks array<struct<peak:int,vid:int,point:{VEC3},normal:{VEC3},height:double,prominence:double,summit:{VEC3},within_reach:long>>, error_code string"
-    found = per_row(meshes, ["vertices", "triangles"], run, schema, replace=True, needs=("triangles",))
+    found = per_batch(meshes, ["vertices", "triangles"], run, schema, replace=True, needs=("triangles",))
     return found.select("mesh_id", "error_code", F.explode_outer("peaks").alias("p")).select("mesh_id", "error_code", "p.*")
