@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from triloom.kernels import csg, many
+from triloom.kernels import csg, many, planar
 from triloom.kernels import mesh as M
 from triloom.kernels.batch import Failure
 from triloom.operators import modify
@@ -190,3 +190,33 @@ def test_peaks_of_many_are_not_found_one_by_one(monkeypatch):
     monkeypatch.setattr(M, "peaks", lambda *_: pytest.fail("one mesh at a time"))
     found = many.peaks([box((k, 0, 0), (1, 1, 1 + k)) for k in range(50)], np.array([0, 0, 1.0]), 1e-6, None)
     assert [float(r.columns["height"][0]) for r in found] == list(range(1, 51))
+
+
+def offset_rings():
+    """Rectangles, convex and other rings, thin and tiny ones, in both directions."""
+    rng = np.random.default_rng(2)
+    out = [np.array([(0, 0), (x, 0), (x, y), (0, y)], float) for x in (0.3, 1, 7.5, 50) for y in (1, 3)]
+    out += [planar.hull(rng.normal(0, 3, (30, 2))) for _ in range(10)]
+    out += [np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float), np.array([(0, 0), (2, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(0, 0), (4, 0), (4, 1e-5), (4, 4), (0, 4)], float)]
+    star = np.array([(np.cos(k * 4 * np.pi / 5), np.sin(k * 4 * np.pi / 5)) for k in range(5)])
+    return [x for r in [*out, star * 5] for x in (r, r[::-1], np.roll(r, 2, axis=0))]
+
+
+@pytest.mark.parametrize("d", [1.0, 0.01, 1e-4, -0.25, -0.01, -3.0, 0.0])
+def test_offsets_of_many_equal_single_ones(d):
+    given = [*offset_rings(), np.zeros((2, 2))]
+    for r, got in zip(given, planar.offsets(given, d), strict=True):
+        try:
+            want = planar.offset(r, d)
+        except Failure as failure:
+            assert isinstance(got, Failure) and got.code == failure.code
+            continue
+        assert planar.signed_area(got) == pytest.approx(planar.signed_area(want), rel=1e-6, abs=2e-4) and planar.signed_area(got) > 0
+        np.testing.assert_allclose(got.min(axis=0), want.min(axis=0), atol=3e-5)
+        np.testing.assert_allclose(got.max(axis=0), want.max(axis=0), atol=3e-5)
+
+
+@pytest.mark.parametrize("d", [1.0, -0.25])
+def test_convex_offsets_need_no_arrangement(d, monkeypatch):
+    monkeypatch.setattr(planar, "combine", lambda *_: pytest.fail("one ring at a time"))
+    assert all(len(r) >= 4 for r in planar.offsets([np.array([(0, 0), (x, 0), (x, 2), (0, 2)], float) for x in range(1, 40)], d))

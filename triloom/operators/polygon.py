@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import curves, planar
-from ..kernels.batch import Failure, per_row
+from ..kernels.batch import Failure, per_batch, per_row
 from ..types import FACE, MESH, POLYGON, RING, VEC2
 
 _POLYGONS = f"polygons array<{POLYGON}>, error_code string"
@@ -66,7 +66,10 @@ def union(rows: DataFrame) -> DataFrame:
 
 
 def offset(rows: DataFrame, distance: float) -> DataFrame:
-    return per_row(rows, ["ring"], lambda r: {"ring": planar.offset(r["ring"], distance)}, f"ring {RING}, error_code string", replace=True)
+    def run(batch):
+        return [r if isinstance(r, Failure) else {"ring": r} for r in planar.offsets([r["ring"] for r in batch], distance)]
+
+    return per_batch(rows, ["ring"], run, f"ring {RING}, error_code string", replace=True)
 
 
 def buffer_path(rows: DataFrame, distance: float) -> DataFrame:
