@@ -113,3 +113,15 @@ def test_meshes_are_not_broadcast(spark, name):
 
 def test_tubes_use_all_cores(spark):
     assert workload.QUERIES["tubes"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["raycast", "signed_distances"])
+def test_batches_carry_keys_and_queries_only(spark, monkeypatch, name):
+    """What a line needs in an Arrow batch is its key and what the kernel reads; a second copy of its point is not carried along."""
+    given = []
+    real = getattr(spatial, name)
+    monkeypatch.setattr(spatial, name, lambda rows: given.append(rows) or real(rows))
+    workload.QUERIES[name](spark, SF)
+    kinds = dict(given[0].dtypes)
+    assert kinds["lines"] == "array<struct<l_orderkey:bigint,l_linenumber:int>>"
+    assert [c for c in kinds if c in ("points", "origins")] == (["origins"] if name == "raycast" else ["points"])

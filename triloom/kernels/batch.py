@@ -89,6 +89,10 @@ def _columns(arrays: list, kind: T.DataType) -> pa.Array:
         struct = pa.StructArray.from_arrays(fields, fields=list(arrow.value_type))
         offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), struct, type=arrow)
+    if isinstance(inner, T.DoubleType) and all(a is None or isinstance(a, np.ndarray) for a in arrays):
+        offsets = np.concatenate([[0], np.cumsum([0 if a is None else len(a) for a in arrays])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0), *[a for a in arrays if a is not None]])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), type=arrow, mask=pa.array([a is None for a in arrays], pa.bool_()))
     if isinstance(inner, T.StructType) and all(isinstance(d, dict) for a in arrays if a is not None for d in a):
         flat = [d for a in arrays if a is not None for d in a]
         struct = pa.StructArray.from_arrays([_columns([d.get(f.name) for d in flat], f.dataType) for f in inner.fields], fields=list(arrow.value_type))

@@ -80,7 +80,7 @@ def closest_rows(points: DataFrame, meshes: DataFrame, block_faces: int = 4096)
 
 def signed_distances(rows: DataFrame) -> DataFrame:
     """``distances`` for each of ``points``, negative inside."""
-    return per_row(rows, ["vertices", "triangles", "points"], lambda r: {"distances": space.signed_distances(r["vertices"], r["triangles"], r["points"]).tolist()}, "distances array<double>, error_code string", replace=True, needs=("triangles",))
+    return per_row(rows, ["vertices", "triangles", "points"], lambda r: {"distances": space.signed_distances(r["vertices"], r["triangles"], r["points"])}, "distances array<double>, error_code string", replace=True, needs=("triangles",))
 
 
 def raycast(rows: DataFrame) -> DataFrame:
