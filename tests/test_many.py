@@ -220,3 +220,22 @@ def test_offsets_of_many_equal_single_ones(d):
 def test_convex_offsets_need_no_arrangement(d, monkeypatch):
     monkeypatch.setattr(planar, "combine", lambda *_: pytest.fail("one ring at a time"))
     assert all(len(r) >= 4 for r in planar.offsets([np.array([(0, 0), (x, 0), (x, 2), (0, 2)], float) for x in range(1, 40)], d))
+
+
+def test_faces_of_a_box_are_cut_as_six_squares():
+    a = many.Stack([box((0, 0, 0), (2, 2, 2))])
+    assert sorted(many.Faces(a).n.tolist()) == [4] * 6
+    turned = rotation(np.random.default_rng(3))
+    assert sorted(many.Faces(many.Stack([box((5, 1, 2), (2, 3, 4), turned), ball(8, 1.0, np.zeros(3))])).n.tolist())[-6:] == [4] * 6
+
+
+def test_planes_cut_only_where_their_faces_lie():
+    """A thin rod through a plate: only pieces beside the hole arise, not a grid."""
+    a, b = many.Stack([box((-5, -5, 0), (10, 10, 1))]), many.Stack([box((-1, -1, -1), (2, 2, 3))])
+    parts, _ = many._fragments(many.Faces(a), many.Faces(b), np.array([1e-8]))
+    assert len(parts.n) == 4 + 2 * 5
+
+
+def test_volumes_of_many_equal_single_ones():
+    meshes = [m for p in pairs()[:70] for m in (p[:2], p[2:])] + [ball(40, 1.0, np.zeros(3))]
+    assert np.allclose(many.volumes(meshes), [M.volume(*m) for m in meshes], rtol=1e-12, atol=0)
