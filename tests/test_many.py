@@ -236,6 +236,29 @@ def test_planes_cut_only_where_their_faces_lie():
     assert len(parts.n) == 4 + 2 * 5
 
 
+def test_split_cuts_once_for_both_halves(monkeypatch):
+    passes = []
+    inner = many._pass
+    monkeypatch.setattr(many, "_pass", lambda kinds, *rest: passes.append(kinds) or inner(kinds, *rest))
+    rows = [(*box((0, 0, 0), (k + 1, 2, 3)), np.array([0, 0, 2.0]), 1.0) for k in range(5)]
+    for k, (front, back) in enumerate(many.halves(rows)):
+        assert M.volume(*front) == pytest.approx((k + 1) * 5) and M.volume(*back) == pytest.approx(k + 1)
+    assert passes == [("subtract", "intersect")]
+
+
+def test_splits_of_many_equal_single_ones():
+    rng = np.random.default_rng(8)
+    rows = [(*box(rng.uniform(-1, 1, 3), rng.uniform(0.5, 2, 3), rotation(rng)), rng.normal(size=3), rng.normal() * 0.3) for _ in range(40)]
+    rows += [(*box((0, 0, 0), (1, 1, 1)), np.array([0, 0, 1.0]), o) for o in (-1.0, 0.0, 1.0, 3.0)] + [(*box((0, 0, 0), (1, 1, 1)), np.zeros(3), 0.0), (*box((0, 0, 0), (1, 1, 1)), np.array([0, 0, np.nan]), 0.0)]
+    for row, got in zip(rows, many.halves(rows), strict=True):
+        try:
+            want = csg.split(*row)
+        except Failure as failure:
+            assert isinstance(got, Failure) and got.code == failure.code
+            continue
+        assert all(same(g, w, abs(M.volume(*row[:2]))) for g, w in zip(got, want, strict=True))
+
+
 def test_volumes_of_many_equal_single_ones():
     meshes = [m for p in pairs()[:70] for m in (p[:2], p[2:])] + [ball(40, 1.0, np.zeros(3))]
     assert np.allclose(many.volumes(meshes), [M.volume(*m) for m in meshes], rtol=1e-12, atol=0)
