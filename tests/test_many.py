@@ -259,6 +259,21 @@ def test_splits_of_many_equal_single_ones():
         assert all(same(g, w, abs(M.volume(*row[:2]))) for g, w in zip(got, want, strict=True))
 
 
+def test_tools_that_lie_apart_are_taken_away_together(monkeypatch):
+    steps = []
+    inner = many.booleans
+    monkeypatch.setattr(many, "booleans", lambda kind, pairs, *rest: steps.append(len(pairs)) or inner(kind, pairs, *rest))
+    plate, holes = box((-20, -20, 0), (40, 40, 5)), [box((-17 + 4.5 * k, -11 + 3 * (k % 4), -1), (2, 2, 7)) for k in range(8)]
+    (v, t), = many.differences([[plate, *holes]])
+    assert steps == [1] and M.volume(v, t) == pytest.approx(5 * (1600 - 32)) and len(t) == 172 and M.topology(v, t)["boundary_edges"] == 0
+    # tools that meet stay apart steps, and so do open ones
+    steps.clear()
+    (v, t), = many.differences([[plate, box((0, 0, -1), (2, 2, 7)), box((1, 1, -1), (2, 2, 7))]])
+    assert steps == [1, 1] and M.volume(v, t) == pytest.approx(5 * (1600 - 7))
+    lid = (holes[0][0], holes[0][1][2:])
+    assert len(many._apart(plate, [lid, holes[1]])) == 2
+
+
 def test_volumes_of_many_equal_single_ones():
     meshes = [m for p in pairs()[:70] for m in (p[:2], p[2:])] + [ball(40, 1.0, np.zeros(3))]
     assert np.allclose(many.volumes(meshes), [M.volume(*m) for m in meshes], rtol=1e-12, atol=0)
