@@ -105,3 +105,15 @@ def test_query_equals_library(spark, library):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert repair.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_emptying_the_table_keeps_what_the_texts_at_hand_know(library, monkeypatch):
+    """Chunks known already are carried over with their ids, not encoded again."""
+    coder, learnt = repair.Encoder(PATH, most=6), []
+    inner = repair.Encoder._learn
+    monkeypatch.setattr(repair.Encoder, "_learn", lambda self, chunks: learnt.append(sorted(chunks)) or inner(self, chunks))
+    texts = ["one two three. four", "two three. five six seven", "seven two one"]
+    for text in texts:
+        ids, _ = coder.encode(pa.array([text]))
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, repair.END_ID]
+    assert learnt == [["four", "one", "three.", "two"], ["five", "seven", "six"], ["one"]] and len(coder.table) == 6

@@ -15,7 +15,7 @@ ends are unsigned 32-bit, ids signed 64-bit. ``part`` and ``seq`` order the shar
 
 Encoding goes through a table of distinct chunks between ASCII white space, where the tokenizer's file says that it drops
 white space and folds case (``NORMALIZER``, ``SPLITTER``); any other tokenizer encodes whole texts. Each worker empties the table
-at ``MOST`` chunks. Chunks of plain characters are cut into words, digits and runs of marks, which the tokenizer's model
+at ``MOST`` chunks, but for those of the texts at hand. Chunks of plain characters are cut into words, digits and runs of marks, which the tokenizer's model
 encodes one by one; others, and texts with a special token's opening, go to the whole tokenizer.
 
 Defined results: a null text is empty and has the end id only; repeated rows follow each other, ordered by a hash of the
@@ -30,7 +30,7 @@ import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -142,18 +142,20 @@ class Encoder:
         odd = np.flatnonzero(~plain & ~easy).tolist()
         for k, ids in zip(odd, self._library([chunks[k] for k in odd]), strict=True):
             coded[k] = ids
-        at, sizes = len(self.table), np.fromiter(map(len, coded), np.int64, len(coded))
-        total = int(sizes.sum())
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._add(chunks, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes)
+
+    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, total = len(self.table), len(ids)
         for name, need in (("ids", self.used + total), ("start", at + len(chunks)), ("size", at + len(chunks))):
             old = getattr(self, name)
             if len(old) < need:
                 setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), np.uint32, total)
+        self.ids[self.used : self.used + total] = ids
         self.start[at : at + len(chunks)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.size[at : at + len(chunks)] = sizes
         self.used += total
-        for k, chunk in enumerate(chunks, at):
-            self.table[chunk] = k
+        self.table.update(zip(chunks, range(at, at + len(chunks)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, an end id after each, and the bounds by text."""
@@ -167,16 +169,20 @@ class Encoder:
         split = pc.ascii_split_whitespace(lower)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.table.get, distinct))
-        unknown = [k for k, f in enumerate(found) if f is None]
+        found = np.fromiter(map(self.table.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(found < 0)
         if len(self.table) + len(unknown) > self.most and self.table:
+            # what these texts know already is carried over: encoding it again costs more than all else here
+            known = np.flatnonzero(found >= 0)
+            sizes = self.size[found[known]]
+            ids = self.ids[scan.ragged(self.start[found[known]], sizes)]
             self._clear()
-            unknown = range(len(distinct))
+            self._add([distinct[k] for k in known.tolist()], ids, sizes)
+            found[known] = np.arange(len(known))
         at = len(self.table)
-        self._learn([distinct[k] for k in unknown])
-        for n, k in enumerate(unknown, at):
-            found[k] = n
-        entry = np.array(found, np.int64)[coded.indices.to_numpy()]
+        self._learn([distinct[k] for k in unknown.tolist()])
+        found[unknown] = at + np.arange(len(unknown))
+        entry = found[coded.indices.to_numpy()]
         sizes = self.size[entry]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
         ids = self.ids[scan.ragged(self.start[entry], sizes)]
@@ -192,8 +198,12 @@ class Encoder:
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and which of them each is."""
-    order = np.argsort(key)
-    ranked = key[order]
+    if key.dtype == np.uint32 and len(key) < 1 << 32:  # numbers that hold their place sort faster than places do
+        packed = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+        order, ranked = packed.astype(np.uint32), (packed >> np.uint64(32)).astype(np.uint32)
+    else:
+        order = np.argsort(key)
+        ranked = key[order]
     fresh = np.ones(len(ranked), bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     which = np.empty(len(ranked), np.int32)
@@ -242,8 +252,8 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, least: int = LEAST_
     wait(np.flatnonzero(~last).astype(np.int32))
     while waiting and room > 0:
         top = max(waiting)
-        at = np.sort(np.concatenate(waiting.pop(top)))
-        at = at[alive[at] & (level[at] == top) & ~last[at]]
+        at = np.concatenate(waiting.pop(top))
+        at = np.sort(at[alive[at] & (level[at] == top) & ~last[at]])
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         if not len(at):
             continue
