@@ -98,6 +98,8 @@ def _columns(arrays: list, kind: T.DataType) -> pa.Array:
         struct = pa.StructArray.from_arrays([_columns([d.get(f.name) for d in flat], f.dataType) for f in inner.fields], fields=list(arrow.value_type))
         offsets = np.concatenate([[0], np.cumsum([0 if a is None else len(a) for a in arrays])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), struct, type=arrow, mask=pa.array([a is None for a in arrays], pa.bool_()))
+    if isinstance(kind, (T.LongType, T.DoubleType)) and {type(a) for a in arrays} <= {int if isinstance(kind, T.LongType) else float, type(None)}:
+        return pa.array(arrays, arrow)
     return pa.array([encode(a, kind) for a in arrays], arrow)
 
 

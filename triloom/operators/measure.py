@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..kernels import many, space
 from ..kernels import mesh as M
-from ..kernels.batch import per_batch, per_row
+from ..kernels.batch import Failure, per_batch, per_row
 from ..types import EMPTY, FACE, VEC3, soup
 
 COUNTERS = ("edges", "boundary_edges", "non_manifold_edges", "winding_errors", "degenerate_triangles", "duplicate_faces", "duplicate_vertices", "shells", "unreferenced_vertices")
@@ -74,15 +74,26 @@ def with_topology(meshes: DataFrame, tolerance: float = M.WELD) -> DataFrame:
 def audited(meshes: DataFrame, tolerance: float = M.WELD) -> DataFrame:
     """``meshes`` without their geometry: the nine counters (NULL for empty ones), ``volume`` (0 for empty ones) and ``n_triangles``, measured in one
     pass. For meshes that a kernel built, which lie in Arrow batches anyway: expressions over a row's faces are interpreted face by face."""
-    df = meshes.withColumn("n_triangles", F.size("triangles").cast("long"))
+    df = meshes.withColumn("_faces", F.size("triangles").cast("long"))
+    out = per_batch(df, ["vertices", "triangles"], lambda rows: audits([(r["vertices"], r["triangles"]) for r in rows], tolerance), AUDIT, replace=True)
+    return counted(out.withColumn("n_triangles", F.col("_faces")).drop("_faces"))
+
+
+#: What an audit measures.
+AUDIT = ", ".join(f"{k} long" for k in COUNTERS) + ", volume double, n_triangles long, error_code string"
+
+
+def audits(meshes: list, tolerance: float = M.WELD) -> list:
+    """The outputs of ``AUDIT`` for meshes as a kernel made them; failures stay."""
+    some = [m for m in meshes if not isinstance(m, Failure) and len(m[1])]
+    found = zip(many.topologies(some, tolerance), many.volumes(some), some, strict=True)
+    found = iter([c | {"volume": x, "n_triangles": len(m[1])} for c, x, m in found])
+    return [m if isinstance(m, Failure) else next(found) if len(m[1]) else {} for m in meshes]
 
-    def run(rows):
-        some = [(r["vertices"], r["triangles"]) for r in rows if len(r["triangles"])]
-        found = iter([c | {"volume": x} for c, x in zip(many.topologies(some, tolerance), many.volumes(some), strict=True)])
-        return [next(found) if len(r["triangles"]) else {} for r in rows]
 
-    out = per_batch(df, ["vertices", "triangles"], run, ", ".join(f"{k} long" for k in COUNTERS) + ", volume double, error_code string", replace=True)
-    return out.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+def counted(audit: DataFrame) -> DataFrame:
+    """Meshes that are empty or could not be made have no volume and no faces."""
+    return audit.withColumns({"volume": F.coalesce("volume", F.lit(0.0)), "n_triangles": F.coalesce("n_triangles", F.lit(0).cast("long"))})
 
 
 def edge_table(meshes: DataFrame) -> DataFrame:

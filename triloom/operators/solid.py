@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from ..kernels import many
 from ..kernels.batch import Failure, per_batch
 from ..types import FACE, MESH, VEC3
+from . import measure
 
 _WORDS = {"union": "Union", "subtract": "Subtract", "intersect": "Intersect"}
 
 
-def boolean(pairs: DataFrame, kind: str, tolerance: float | None = None) -> DataFrame:
+def boolean(pairs: DataFrame, kind: str, tolerance: float | None = None, audit: bool = False) -> DataFrame:
     """Of ``vertices``/``triangles`` and ``other_vertices``/``other_triangles``; annotations and name come from the left mesh.
 
-    Corners closer than ``tolerance`` are one: by default it follows the size of both meshes.
+    Corners closer than ``tolerance`` are one: by default it follows the size of both meshes. With ``audit`` each result is measured where it is made,
+    as by ``measure.audited``, and only the measures leave the task.
     """
 
     def run(rows):
         found = many.booleans(kind, [(r["vertices"], r["triangles"], r["other_vertices"], r["other_triangles"]) for r in rows], tolerance)
+        if audit:
+            return measure.audits(found)
         made = lambda r, m: {"vertices": m[0], "triangles": m[1], "created_by": f"triloom.{kind}", "name": f"{r.get('name') or 'A'} {_WORDS[kind]} {r.get('other_name') or 'B'}"}
         return [m if isinstance(m, Failure) else made(r, m) for r, m in zip(rows, found, strict=True)]
 
     schema = f"vertices array<{VEC3}>, triangles array<{FACE}>, name string, created_by string, error_code string"
-    return per_batch(pairs, ["vertices", "triangles", "other_vertices", "other_triangles", "other_name"] if "other_name" in pairs.columns else ["vertices", "triangles", "other_vertices", "other_triangles"], run, schema, replace=True, needs=("triangles", "other_triangles"))
+    inputs = ["vertices", "triangles", "other_vertices", "other_triangles"] + ["other_name"] * ("other_name" in pairs.columns)
+    out = per_batch(pairs, inputs, run, measure.AUDIT if audit else schema, replace=True, needs=("triangles", "other_triangles"))
+    return measure.counted(out) if audit else out
 
 
 def batch(meshes: DataFrame, kind: str) -> DataFrame:
