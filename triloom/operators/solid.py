@@ -33,21 +33,26 @@ def boolean(pairs: DataFrame, kind: str, tolerance: float | None = None, audit:
     return measure.counted(out) if audit else out
 
 
-def batch(meshes: DataFrame, kind: str) -> DataFrame:
-    """(group_id, ord, vertices, triangles) to one mesh a group: ``union`` by a tree over ord, ``subtract`` from the first.
+def batch(meshes: DataFrame, kind: str, audit: bool = False) -> DataFrame:
+    """(group_id, ord, vertices, triangles) to one mesh a group: ``union`` of all, ``subtract`` from the first by ord.
 
-    A group's meshes meet in one row and so in one task: a group is one model's operands, not a data set.
+    A group's meshes meet in one row and so in one task: a group is one model's operands, not a data set. Rows that hold their ``operands`` already,
+    an array of (ord, vertices, triangles), are a group each and need no grouping. ``audit`` is as in ``boolean``.
     """
-    packed = meshes.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("ord", "vertices", "triangles"))).alias("operands"))
+    grouped = F.collect_list(F.struct("ord", "vertices", "triangles"))
+    packed = meshes.withColumn("operands", F.array_sort("operands")) if "operands" in meshes.columns else meshes.groupBy("group_id").agg(F.array_sort(grouped).alias("operands"))
 
     def run(rows):
         groups = [[(o["vertices"], o["triangles"]) for o in r["operands"]] for r in rows]
         sound = [all(len(t) for _, t in g) for g in groups]
-        found = iter((many.unions if kind == "union" else many.differences)([g for g, ok in zip(groups, sound, strict=True) if ok]))
+        found = iter(many.together(kind, [g for g, ok in zip(groups, sound, strict=True) if ok]))
         out = [next(found) if ok else Failure("Mesh.EmptyOperand") for ok in sound]
+        if audit:
+            return measure.audits(out)
         return [m if isinstance(m, Failure) else {"vertices": m[0], "triangles": m[1], "name": f"Batch {kind}", "created_by": f"triloom.{kind}"} for m in out]
 
-    return per_batch(packed, ["operands"], run, MESH, replace=True)
+    out = per_batch(packed, ["operands"], run, measure.AUDIT if audit else MESH, replace=True, needs=("operands",))
+    return measure.counted(out) if audit else out
 
 
 def split(meshes: DataFrame) -> DataFrame:
